@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op7_best_fit_packing
 from .repeats import op4_suffix_array_dedup, op5_substring_dedup
+from .tokens import op3_token_counts
+from .warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op4_suffix_array_dedup, op5_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_suffix_array_dedup, op5_substring_dedup, op6_warc, op7_best_fit_packing)}
 
 ORACLES: dict[str, str] = {}
