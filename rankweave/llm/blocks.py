@@ -154,10 +154,6 @@ class Rolling:
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed(self.raw(start, end))
 
-    def grams(self, k: int) -> np.ndarray:
-        n = len(self.prefix) - k
-        return mixed((self.prefix[k:] - self.prefix[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U)
-
 
 BYTE_SYMBOLS = mixed(np.arange(1, 257, dtype=U) * U(BASES[1]))
 
@@ -170,29 +166,27 @@ def word_symbols(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 # ---------------------------------------------------------------- winnowing
 
 
-def minima(grams: np.ndarray, w: int) -> np.ndarray:
-    """For each run of w k-gram hashes, the place of the least one; of equal ones the leftmost.
+def _runs(raw: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts whose least k-gram of w is the same: (place, first start, last start); of equal ones the leftmost.
 
-    The choice depends on the run's content alone.  24 bits of each sort key hold the place, 40 the hash.
+    The choice depends on content alone.  40 leading bits of a sort key hold the hash, 24 the place.
     """
-    n = len(grams) - w + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    out, step = np.empty(n, np.int64), (1 << 24) - w
+    n, step, out = len(raw) - w + 1, (1 << 24) - w, []
     for at in range(0, n, step):
         m = min(step, n - at)
-        key = (grams[at : at + m + w - 1] & U(0xFFFFFFFFFF000000)) | np.arange(m + w - 1, dtype=U)
+        key = (raw[at : at + m + w - 1] & U(0xFFFFFFFFFF000000)) | np.arange(m + w - 1, dtype=U)
         span = 1
         while 2 * span <= w:
             key = np.minimum(key[:-span], key[span:])
             span *= 2
         if rest := w - span:
             key = np.minimum(key[:-rest], key[rest:])
-        out[at : at + m] = (key[:m] & U(0xFFFFFF)).astype(np.int64) + at
-    return out
+        new = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
+        out.append(((key[new] & U(0xFFFFFF)).astype(np.int64) + at, new + at, np.r_[new[1:], m] - 1 + at))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def anchors(grams: np.ndarray, bounds: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(rolling: Rolling, bounds: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Winnowed anchors of texts that lie end to end between bounds: (place, first window, last window).
 
     Every window of `window` symbols within one text belongs to exactly one anchor: its least k-gram.
@@ -201,21 +195,13 @@ def anchors(grams: np.ndarray, bounds: np.ndarray, window: int, k: int) -> tuple
     if n < window:
         e = np.zeros(0, np.int64)
         return e, e, e
-    whole = np.ones(n - window + 1, bool)
-    inner = bounds[1:-1]
-    inner = inner[(inner > 0) & (inner < n)]
-    if len(inner):  # windows over a text's end
-        delta = np.zeros(n - window + 2, np.int32)
-        np.add.at(delta, np.clip(inner - window + 1, 0, n - window + 1), 1)
-        np.add.at(delta, np.clip(inner, 0, n - window + 1), -1)
-        whole = np.cumsum(delta[:-1]) == 0
-    first = np.flatnonzero(whole)
-    if not len(first):
-        e = np.zeros(0, np.int64)
-        return e, e, e
-    place = minima(grams, window - k + 1)[: len(whole)][first]
-    new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return place[new], first[new], first[np.r_[new[1:] - 1, len(first) - 1]]
+    raw = (rolling.prefix[k : n + 1] - rolling.prefix[: n - k + 1]) * rolling.down[: n - k + 1]
+    place, first, last = _runs(raw, window - k + 1)
+    text = np.searchsorted(bounds, place, side="right") - 1
+    first = np.maximum(first, bounds[text])  # windows over a text's start or end belong to none
+    last = np.minimum(last, bounds[text + 1] - window)
+    whole = np.flatnonzero(first <= last)
+    return place[whole], first[whole], last[whole]
 
 
 # ---------------------------------------------------------------- exchanges of packed keys
@@ -234,6 +220,20 @@ def split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket[start].astype(np.int64), np.r_[start, len(keys)]
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """64-bit values as 32-bit distances from the least one, if they allow it."""
+    base = int(values.min()) if len(values) else 0
+    if len(values) and int(values.max()) - base >= 1 << 32:
+        return b"\0" + values.astype(np.int64).tobytes()
+    return b"\1" + base.to_bytes(8, "little", signed=True) + (values - base).astype(np.uint32).tobytes()
+
+
+def widened(body: bytes) -> np.ndarray:
+    if body[0]:
+        return np.frombuffer(body, np.uint32, offset=9).astype(np.int64) + int.from_bytes(body[1:9], "little", signed=True)
+    return np.frombuffer(body[1:], np.int64)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     return b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
 
@@ -246,57 +246,80 @@ def unpack(body: bytes, *dtypes: str) -> list[np.ndarray]:
     return out
 
 
-def requests(g: int, buckets: int, keys: np.ndarray, columns: list[np.ndarray], state: bytes) -> pa.Table:
-    """One row per bucket with its slice of the sorted keys and columns, and one that brings the state back."""
+def owned(key: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
+    """Columns of sorted keys: 96 bits of two hashes."""
+    return [key, (second >> U(32)).astype(np.uint32)]
+
+
+def requests(g: int, buckets: int, keys: np.ndarray, columns: list[np.ndarray], state: bytes, values: np.ndarray | None = None) -> pa.Table:
+    """One row per bucket with its slice of the columns, in the order of the sorted keys, and one that brings the state back."""
     dest, bounds = split(keys, buckets)
-    bodies = [pack(keys[a:b], *(c[a:b] for c in columns)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    last = (lambda a, b: narrow(values[a:b])) if values is not None else lambda a, b: b""
+    bodies = [pack(*(c[a:b] for c in columns)) + last(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     return pa.table({"dest": pa.array([*dest.tolist(), g % buckets], pa.int64()), "src": pa.array([g] * (len(bodies) + 1), pa.int64()), "kind": pa.array([ASK] * len(bodies) + [STATE], pa.int32()), "body": pa.array([*bodies, state], pa.binary())})
 
 
-def answered(dtypes: tuple[str, ...], solve: Callable[..., np.ndarray]) -> Callable[[pa.Table], pa.Table]:
-    """What a bucket sends back: solve(owner, *columns) over all blocks' entries gives a value for each entry."""
+def _entries(body: bytes, dtypes: tuple[str, ...], valued: bool) -> list[np.ndarray]:
+    out = unpack(body, *dtypes)
+    return [*out, widened(body[8 * len(dtypes) + sum(c.nbytes for c in out) :])] if valued else out
+
+
+def answered(dtypes: tuple[str, ...], solve: Callable[..., np.ndarray], valued: bool = False) -> Callable[[pa.Table], pa.Table]:
+    """What a bucket sends back: solve(owner, *columns) over all blocks' entries gives a bit for each entry."""
 
     def answer(t: pa.Table) -> pa.Table:
         kind, src, body = t["kind"].to_numpy(), t["src"].to_pylist(), t["body"].to_pylist()
         asks = np.flatnonzero(kind == ASK).tolist()
         replies = dict(enumerate(body))
         if asks:
-            parts = [unpack(body[i], *dtypes) for i in asks]
+            parts = [_entries(body[i], dtypes, valued) for i in asks]
             sizes = [len(p[0]) for p in parts]
             out = solve(np.repeat(np.arange(len(parts)), sizes), *(np.concatenate(c) for c in zip(*parts, strict=True)))
             for i, piece in zip(asks, np.split(out, np.cumsum(sizes)[:-1]), strict=True):
-                replies[i] = piece.tobytes()
+                replies[i] = len(piece).to_bytes(4, "little") + np.packbits(piece).tobytes()
         return pa.table({"g": pa.array(src, pa.int64()), "dest": t["dest"].cast(pa.int64()), "kind": pa.array(kind, pa.int32()), "body": pa.array([replies[i] for i in range(len(src))], pa.binary())})
 
     return answer
 
 
-def received(t: pa.Table, kind: str) -> tuple[bytes, np.ndarray]:
-    """The state and the answers of a block, in the order of the keys that it sent."""
+def received(t: pa.Table) -> tuple[bytes, np.ndarray]:
+    """The state and the answers (booleans) of a block, in the order of the keys that it sent."""
     kinds, dest, body = t["kind"].to_pylist(), t["dest"].to_pylist(), t["body"].to_pylist()
     state = next((b for k, b in zip(kinds, body, strict=True) if k == STATE), b"")
     rows = sorted((d, b) for k, d, b in zip(kinds, dest, body, strict=True) if k == ASK)
-    return state, np.frombuffer(b"".join(b for _, b in rows), kind)
+    bits = [np.unpackbits(np.frombuffer(b, np.uint8, offset=4), count=int.from_bytes(b[:4], "little")) for _, b in rows]
+    return state, np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
 
 
-def several(owner: np.ndarray, key: np.ndarray, flag: np.ndarray) -> np.ndarray:
-    """1 for entries whose key has entries of two blocks or a flag (uint8)."""
+def flagged(key: np.ndarray, flag: np.ndarray) -> list[np.ndarray]:
+    """Sorted keys cut to 48 bits in two columns; the last bit is the flag.  What falls together is told apart later."""
+    low = ((key >> U(16)) & U(0xFFFE)).astype(np.uint16) | flag
+    return [(key >> U(32)).astype(np.uint32), low]
+
+
+def several(owner: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """1 for entries whose flagged key has entries of two blocks or a flag (uint8)."""
+    key, flag = (high.astype(U) << U(16)) | (low & 0xFFFE), low & 1
     order = np.argsort(key, kind="stable")
-    k, f, o = key[order], flag[order], owner[order]
+    k, f = key[order], flag[order]
     start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    many = (np.maximum.reduceat(o, start) != np.minimum.reduceat(o, start)) | (np.maximum.reduceat(f, start) > 0)
+    size = np.diff(np.r_[start, len(k)])
+    many = np.maximum.reduceat(f, start) > 0
+    several = np.flatnonzero(size > 1)
+    o = owner[order]
+    many[several] |= np.maximum.reduceat(o, start)[several] != np.minimum.reduceat(o, start)[several]
     out = np.empty(len(key), np.uint8)
-    out[order] = np.repeat(many, np.diff(np.r_[start, len(k)]))
+    out[order] = np.repeat(many, size)
     return out
 
 
-def least(owner: np.ndarray, key: np.ndarray, second: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """For each entry the least value among the entries with the same pair of keys."""
+def beaten(owner: np.ndarray, key: np.ndarray, second: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """1 for entries with a greater value than another entry with the same pair of keys (uint8)."""
     order = np.lexsort((second, key))
     k, s, v = key[order], second[order], value[order]
     start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
-    out = np.empty(len(key), value.dtype)
-    out[order] = np.repeat(np.minimum.reduceat(v, start), np.diff(np.r_[start, len(k)]))
+    out = np.empty(len(key), np.uint8)
+    out[order] = v > np.repeat(np.minimum.reduceat(v, start), np.diff(np.r_[start, len(k)]))
     return out
 
 

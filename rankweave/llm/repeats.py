@@ -12,9 +12,9 @@ each send few keys and no pairs:
 
 No step lists the members of a group: a block sends every key once, with the least of its documents.
 
-Symbols are words (``substring``) or bytes (``suffix_array``).  For bytes, step 4 compares the strings themselves in a
-hash-compared suffix sort; for words it compares 128-bit fingerprints.  Stretches are compared by 128-bit fingerprints
-in both cases.
+Symbols are words (``substring``) or bytes (``suffix_array``).  For bytes, each block puts the windows of step 4 in
+order with a hash-compared suffix sort, whose matches are verified byte by byte, and sends one of each class.  Between
+blocks, stretches and windows are compared by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -43,9 +43,6 @@ class Repeats:
     window: int
     k: int
 
-    @property
-    def string(self) -> str:
-        return f"V{self.window}"
 
 
 class Block:
@@ -72,9 +69,8 @@ class Block:
         return self.ids[np.searchsorted(self.bounds, place, side="right") - 1] if len(place) else np.zeros(0, np.int64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        grams = self.rolling.grams(self.how.k)
-        place, first, last = B.anchors(grams, self.bounds, self.how.window, self.how.k)
-        return place, first, last, grams[place]
+        place, first, last = B.anchors(self.rolling, self.bounds, self.how.window, self.how.k)
+        return place, first, last, self.rolling.slices(place, place + self.how.k)
 
     def second(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return B.Rolling(self.symbols, B.BASES[1]).slices(start, end)
@@ -116,19 +112,23 @@ def _steps(how: Repeats):
         b = Block(t, how)
         place, _, _, key = b.anchors()
         order, start, _ = _distinct(key)
-        return B.requests(g, buckets, key[order][start], [_flags(b.doc(place), order, start)], b"")
+        key = key[order][start]
+        return B.requests(g, buckets, key, B.flagged(key, _flags(b.doc(place), order, start)), b"")
+
+    def stretch_key(b, place, first, last):
+        return b.rolling.slices(first, last + L) ^ B.mixed((place - first).astype(U) + U(1))
 
     def stretches(g, t, replies, buckets):
         b = Block(t, how)
         place, first, last, key = b.anchors()
         _, _, group = _distinct(key)
-        shared = B.received(replies, "u1")[1][group] > 0
+        shared = B.received(replies)[1][group]
         place, first, last = place[shared], first[shared], last[shared]
-        offset = B.mixed((place - first).astype(U) + U(1))
-        k1, k2 = b.rolling.slices(first, last + L) ^ offset, b.second(first, last + L) + offset
-        order, start, group = _distinct(k1, k2)
-        state = B.pack(_delta(place), (place - first).astype(np.uint8), (place - last).astype(np.uint8), group)
-        return B.requests(g, buckets, k1[order][start], [k2[order][start], _least(b.doc(place), order, start)], state)
+        k1, k2 = stretch_key(b, place, first, last), b.second(first, last + L)
+        order, start, _ = _distinct(k1)
+        one = order[start]
+        state = B.pack(_delta(place), (place - first).astype(np.uint8), (place - last).astype(np.uint8))
+        return B.requests(g, buckets, k1[one], B.owned(k1[one], k2[one]), state, _least(b.doc(place), order, start))
 
     def pairs(place, low, high):
         """(anchor, group of eight offsets) for all offsets that anchors have."""
@@ -137,52 +137,59 @@ def _steps(how: Repeats):
         who = np.repeat(np.arange(len(place)), n)
         return who, a[who] + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
 
+    def core_key(b, place, q):
+        at = place - q * GROUP
+        return b.rolling.slices(at, at + L - GROUP + 1) ^ B.mixed(q.astype(U) + U(1))
+
     def cores(g, t, replies, buckets):
         b = Block(t, how)
-        state, owner = B.received(replies, "i8")
-        delta, high, low, group = B.unpack(state, "u4", "u1", "u1", "i4")
-        place = np.cumsum(delta.astype(np.int64))
+        state, beaten = B.received(replies)
+        delta, high, low = B.unpack(state, "u4", "u1", "u1")
+        place, high, low = np.cumsum(delta, dtype=np.int64), high.astype(np.int64), low.astype(np.int64)
         doc = b.doc(place)
-        done = owner[group] < doc
+        done = _settled(beaten, _distinct(stretch_key(b, place, place - high, place - low))[2], doc)
         covered = _union(place[done] - high[done], place[done] - low[done] + L)
-        place, low, high, doc = place[~done], low[~done].astype(np.int64), high[~done].astype(np.int64), doc[~done]
+        place, low, high, doc = place[~done], low[~done], high[~done], doc[~done]
         who, q = pairs(place, low, high)
-        at = place[who] - q * GROUP
-        key = b.rolling.slices(at, at + L - GROUP + 1) ^ B.mixed(q.astype(U) + U(1))
-        order, start, group = _distinct(key)
-        state = B.pack(*covered, _delta(place), high.astype(np.uint8), low.astype(np.uint8), group)
-        return B.requests(g, buckets, key[order][start], [_flags(doc[who], order, start)], state)
+        key = core_key(b, place[who], q)
+        order, start, _ = _distinct(key)
+        state = B.pack(*covered, _delta(place), high.astype(np.uint8), low.astype(np.uint8))
+        key = key[order][start]
+        return B.requests(g, buckets, key, B.flagged(key, _flags(doc[who], order, start)), state)
 
     def windows(g, t, replies, buckets):
         b = Block(t, how)
-        state, flag = B.received(replies, "u1")
-        begin, end, delta, high, low, group = B.unpack(state, "i4", "i4", "u4", "u1", "u1", "i4")
-        place, low, high = np.cumsum(delta.astype(np.int64)), low.astype(np.int64), high.astype(np.int64)
+        state, flag = B.received(replies)
+        begin, end, delta, high, low = B.unpack(state, "i4", "i4", "u4", "u1", "u1")
+        place, low, high = np.cumsum(delta, dtype=np.int64), low.astype(np.int64), high.astype(np.int64)
         who, q = pairs(place, low, high)
-        live = flag[group] > 0
+        live = flag[_distinct(core_key(b, place[who], q))[2]]
         who, q = who[live], q[live]
         a, z = np.maximum(low[who], q * GROUP), np.minimum(high[who], q * GROUP + GROUP - 1)
         n = z - a + 1
         at = np.repeat(place[who] - a, n) - (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
         k1, k2 = b.rolling.slices(at, at + L), b.second(at, at + L)
-        order, start, group = _distinct(k1, k2)
-        one = order[start]
-        content = k2[one] if how.words else np.ascontiguousarray(b.data[at[one][:, None] + np.arange(L)]).view(how.string).ravel()
-        return B.requests(g, buckets, k1[one], [content, _least(b.doc(at), order, start)], B.pack(begin, end, _delta(at), group))
+        if how.words:
+            order, start, _ = _distinct(k1)
+            one, least = order[start], _least(b.doc(at), order, start)
+        else:  # a class of the suffix sort is a key
+            order, start, _ = _distinct(Suffixes(b.data, at, L, b.rolling).classes())
+            one, least = order[start], _least(b.doc(at), order, start)
+            by_key = np.argsort(k1[one])
+            one, least = one[by_key], least[by_key]
+            if (k1[one[1:]] == k1[one[:-1]]).any():
+                raise ArithmeticError("two different strings have the same hash; choose other bases")
+        return B.requests(g, buckets, k1[one], B.owned(k1[one], k2[one]), B.pack(begin, end, _delta(at)), least)
+
+    several, beaten = B.answered(("u4", "u2"), B.several), B.answered(("u8", "u4"), B.beaten, valued=True)
+    return [(anchor_keys, several), (stretches, beaten), (cores, several), (windows, beaten)]
 
-    def by_suffix(owner, key, text, doc):
-        n = len(key)
-        klass = Suffixes(np.frombuffer(text.tobytes(), np.uint8), np.arange(n) * L, L).classes()
-        order = np.argsort(klass, kind="stable")
-        start = np.flatnonzero(np.r_[True, np.diff(klass[order]) > 0])
-        return np.minimum.reduceat(doc[order], start)[klass]
 
-    return [
-        (anchor_keys, B.answered(("u8", "u1"), B.several)),
-        (stretches, B.answered(("u8", "u8", "i8"), B.least)),
-        (cores, B.answered(("u8", "u1"), B.several)),
-        (windows, B.answered(("u8", "u8", "i8"), B.least) if how.words else B.answered(("u8", how.string, "i8"), by_suffix)),
-    ]
+def _settled(beaten: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Entries for which a smaller document has the same: in another block, or in this one."""
+    least = np.full(len(beaten), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, doc)
+    return beaten[group] | (least[group] < doc)
 
 
 def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,10 +205,10 @@ def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def removed(t: pa.Table, replies: pa.Table, how: Repeats) -> tuple[Block, np.ndarray]:
     """The block and, for each of its symbols, whether a window that a smaller document has too covers it."""
     b = Block(t, how)
-    state, owner = B.received(replies, "i8")
-    begin, end, delta, group = B.unpack(state, "i4", "i4", "u4", "i4")
-    at = np.cumsum(delta.astype(np.uint32)).astype(np.uint32).astype(np.int64)
-    hit = at[owner[group] < b.doc(at)]
+    state, beaten = B.received(replies)
+    begin, end, delta = B.unpack(state, "i4", "i4", "u4")
+    at = np.cumsum(delta, dtype=np.uint32).astype(np.int64)  # differences modulo 2**32
+    hit = at[_settled(beaten, _distinct(b.rolling.slices(at, at + how.window))[2], b.doc(at))]
     depth = np.zeros(int(b.all_bounds[-1]) + 1, np.int32)
     for a, z in ((begin.astype(np.int64), end.astype(np.int64)), (hit, hit + how.window)):
         np.add.at(depth, a, 1)
@@ -233,10 +240,10 @@ def _run(docs: DataFrame, how: Repeats, final, schema: str, block_bytes: int) ->
     spark = docs.sparkSession
     B.small_batches(spark)
     n = B.partitions(spark)
-    return B.converse(B.grouped(docs, block_bytes, n), n, n, _steps(how), final, schema)
+    return B.converse(B.grouped(docs, block_bytes, n), n, 2 * n, _steps(how), final, schema)
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16, block_bytes: int = 1 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16, block_bytes: int = 1 << 18) -> DataFrame:
     """Removes every word covered by a window of `window` words that also starts in a document with a smaller doc_id.
 
     docs needs doc_id and text; other columns are ignored.  Returns for each row doc_id, n_words, n_removed and kept
@@ -254,7 +261,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16, block_bytes:
     return _run(docs, how, final, "doc_id long, n_words long, n_removed long, kept string", block_bytes)
 
 
-def suffix_array_dedup(docs: DataFrame, length: int = 50, k: int = 20, block_bytes: int = 1 << 20) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, length: int = 50, k: int = 20, block_bytes: int = 1 << 18) -> DataFrame:
     """Removes every byte covered by a string of `length` bytes that also starts in a document with a smaller doc_id.
 
     docs needs doc_id and text; other columns are ignored.  Returns for each row doc_id, n_bytes, n_removed, n_spans

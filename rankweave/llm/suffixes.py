@@ -17,9 +17,9 @@ HEAD = 8
 class Suffixes:
     """Suffixes of `data` that begin at `starts`, each of them `length` bytes long."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, length: int):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, length: int, rolling: Rolling | None = None):
         self.data, self.starts, self.length = data, starts.astype(np.int64), length
-        self.rolling = Rolling(BYTE_SYMBOLS[data])
+        self.rolling = rolling or Rolling(BYTE_SYMBOLS[data])
         self.steps = [1 << b for b in range(int(length).bit_length() - 1, -1, -1)]
         head, self.head = min(HEAD, length), np.zeros(len(starts), np.uint64)
         for i in range(head):  # the first bytes decide most comparisons
