@@ -28,7 +28,7 @@ class Roll:
         if self.out is None or self.at >= self.most:
             self.close()
             self.name = f"{uuid.uuid4().hex}{self.suffix}"
-            self.out, self.at = self.system.open_output_stream(f"{self.folder}/{self.name}"), 0
+            self.out, self.at = self.system.open_output_stream(f"{self.folder}/{self.name}", compression=None), 0
         offset = self.at
         self.out.write(record)
         self.at += len(record)
