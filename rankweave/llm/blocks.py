@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U = np.uint64
 #: Odd multipliers of the two rolling hashes, and the constants that scramble a finished hash.
@@ -63,6 +64,13 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def widened_schema(docs: DataFrame, schema: str, keep: list[str]) -> tuple[list[str], T.StructType]:
+    """Columns of docs to carry along, and the result's schema with them; a name that the result has is not carried."""
+    own = T._parse_datatype_string(schema)
+    extra = [c for c in keep if c not in own.names]
+    return extra, T.StructType([*own.fields, *(docs.schema[c] for c in extra)])
+
+
 # ---------------------------------------------------------------- buffers
 
 
@@ -207,10 +215,11 @@ def anchors(rolling: Rolling, bounds: np.ndarray, window: int, k: int) -> tuple[
 # ---------------------------------------------------------------- exchanges of packed keys
 
 
-def grouped(docs: DataFrame, block_bytes: int, n: int) -> DataFrame:
+def grouped(docs: DataFrame, block_bytes: int, n: int, extra: list[str]) -> DataFrame:
     """documents dealt over blocks (column g) of about block_bytes of input, several to a partition."""
+    more = [c for c in extra if c != "text"]
     blocks = max(4 * n, -(-input_bytes(docs) // block_bytes))
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("g"), "doc_id", "text").repartition(n, "g")
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("g"), "doc_id", "text", *more).repartition(n, "g")
 
 
 def split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +332,7 @@ def beaten(owner: np.ndarray, key: np.ndarray, second: np.ndarray, value: np.nda
     return out
 
 
-def converse(docs: DataFrame, n: int, buckets: int, steps: list[tuple[Callable, Callable]], final: Callable, schema: str) -> DataFrame:
+def converse(docs: DataFrame, n: int, buckets: int, steps: list[tuple[Callable, Callable]], final: Callable, schema: T.StructType) -> DataFrame:
     """Rounds in which every block sends keys to buckets and gets a value back for each, then the blocks' results.
 
     docs has the columns g, doc_id, text and is partitioned by g; all rounds reuse that one exchange of the texts.

@@ -236,17 +236,25 @@ def _kept_bytes(b: Block, gone: np.ndarray) -> list[bytes]:
     return [kept[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
 
 
-def _run(docs: DataFrame, how: Repeats, final, schema: str, block_bytes: int) -> DataFrame:
+def _run(docs: DataFrame, how: Repeats, final, schema: str, block_bytes: int, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     B.small_batches(spark)
     n = B.partitions(spark)
-    return B.converse(B.grouped(docs, block_bytes, n), n, 2 * n, _steps(how), final, schema)
+    extra, full = B.widened_schema(docs, schema, keep)
 
+    def last(g, t, replies):
+        out = final(g, t, replies)
+        for c in extra:
+            out = out.append_column(c, t[c])
+        return out
 
-def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16, block_bytes: int = 1 << 18) -> DataFrame:
+    return B.converse(B.grouped(docs, block_bytes, n, extra), n, 2 * n, _steps(how), last, full)
+
+
+def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16, block_bytes: int = 1 << 18, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """Removes every word covered by a window of `window` words that also starts in a document with a smaller doc_id.
 
-    docs needs doc_id and text; other columns are ignored.  Returns for each row doc_id, n_words, n_removed and kept
+    docs needs doc_id and text; of other columns those in keep are carried along.  Returns for each row doc_id, n_words, n_removed and kept
     (the kept words joined by one space).  Null and empty texts have no words; a row whose doc_id is null matches
     nothing and keeps all its words; rows that share a doc_id do not shorten each other, and each gives a row.  An
     empty table gives an empty result.  A text shorter than a window is kept.
@@ -258,13 +266,13 @@ def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16, block_bytes:
         kept = [x.decode("utf-8", "surrogatepass") for x in _kept_words(b, gone)]
         return pa.table({"doc_id": t["doc_id"].cast(pa.int64()), "n_words": pa.array(np.diff(b.all_bounds), pa.int64()), "n_removed": pa.array(_sums(gone, b.all_bounds), pa.int64()), "kept": pa.array(kept, pa.string())})
 
-    return _run(docs, how, final, "doc_id long, n_words long, n_removed long, kept string", block_bytes)
+    return _run(docs, how, final, "doc_id long, n_words long, n_removed long, kept string", block_bytes, keep)
 
 
-def suffix_array_dedup(docs: DataFrame, length: int = 50, k: int = 20, block_bytes: int = 1 << 18) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, length: int = 50, k: int = 20, block_bytes: int = 1 << 18, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """Removes every byte covered by a string of `length` bytes that also starts in a document with a smaller doc_id.
 
-    docs needs doc_id and text; other columns are ignored.  Returns for each row doc_id, n_bytes, n_removed, n_spans
+    docs needs doc_id and text; of other columns those in keep are carried along.  Returns for each row doc_id, n_bytes, n_removed, n_spans
     (maximal removed runs) and kept (binary: the remaining bytes, which need not be valid UTF-8).  A null text is an
     empty one; rows with a null doc_id match nothing; rows that share a doc_id do not shorten each other, and each
     gives a row.  An empty table gives an empty result.
@@ -277,7 +285,7 @@ def suffix_array_dedup(docs: DataFrame, length: int = 50, k: int = 20, block_byt
         runs = np.diff(np.searchsorted(begin, b.off))
         return pa.table({"doc_id": t["doc_id"].cast(pa.int64()), "n_bytes": pa.array(np.diff(b.off), pa.int64()), "n_removed": pa.array(_sums(gone, b.off), pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept": pa.array(_kept_bytes(b, gone), pa.binary())})
 
-    return _run(docs, how, final, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", block_bytes)
+    return _run(docs, how, final, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", block_bytes, keep)
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
