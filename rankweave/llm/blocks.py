@@ -218,7 +218,7 @@ def anchors(rolling: Rolling, bounds: np.ndarray, window: int, k: int) -> tuple[
 def grouped(docs: DataFrame, block_bytes: int, n: int, extra: list[str]) -> DataFrame:
     """documents dealt over blocks (column g) of about block_bytes of input, several to a partition."""
     more = [c for c in extra if c != "text"]
-    blocks = max(4 * n, -(-input_bytes(docs) // block_bytes))
+    blocks = max(2 * n, -(-input_bytes(docs) // block_bytes))
     return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("g"), "doc_id", "text", *more).repartition(n, "g")
 
 
