@@ -1,6 +1,379 @@
-"""Named queries over the test tables, and the SQL that each is held against."""
+"""Named queries over the test tables, and the SQL that each is held against.
+
+The tables have no clock and no vectors of texts: a document's time is that of the event with its number, NOW is fixed,
+and a stored vector stands in for an embedded query.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import provenance as P
+from ..functions import text as X
+from ..functions.times import millis
+from ..operators import floors, fusion, lexical, recency, rollup, vector
+from ..schema import EMBEDDINGS, LEXICAL, Filters, Params, Recency, Request
+from ..sources.tables import TableSource
+from ..streaming import health
+from . import legs as L
+from . import search
+from .oracle import Sql
+
+NOW = 1704326400000  # 2024-01-04T00:00:00Z
+MONTH_END = 1706659200000  # 2024-01-31T00:00:00Z
+DAY = 86_400_000
+COMMON, PAIR, RARE = "the", "the and", "the tionre onesnt"
+RECENT = Recency(half_life_ms=DAY, weight=0.3, now_ms=NOW)
+MULTIPLY = Recency(half_life_ms=DAY, weight=0.5, mode="multiply", now_ms=NOW)
+FRESH = Recency(half_life_ms=DAY, weight=0.3, fresh_window_ms=DAY // 2, now_ms=NOW)
+FLOORS = {"lexical": 1.5, "embeddings": 0.1}
+BATCH = [(1, "tionre onesnt"), (2, "the tionre"), (3, "that onesnt"), (4, "and")]
+BATCH_VECTORS = {1: 0, 2: 7, 3: 20}  # query -> vec_id
+
+
+# ---------------------------------------------------------------- sources
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> TableSource:
+    times = read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), millis(F.col("ts")).alias("ts_ms"))
+    table = read(spark, sf_dir, "documents").join(times, "doc_id", "left")
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("source_id"), F.col("embedding").cast("array<double>").alias("v"))
+    c = F.col
+    return TableSource("documents", table, c("doc_id"), c("text"), ts_ms=c("ts_ms"), scope=c("source"), kind=c("lang"), meta={"lang": c("lang")}, vectors=vectors)
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> TableSource:
+    c = F.col
+    name = F.concat_ws(":", c("conv_id"), c("turn"))
+    return TableSource("conversations", read(spark, sf_dir, "conversations"), name, c("text"), speaker=c("role"), session=c("conv_id").cast("string"), owner=c("role"), meta={"conv": c("conv_id")})
+
+
+def pages(spark: SparkSession, sf_dir: str) -> TableSource:
+    c = F.col
+    return TableSource("pages", read(spark, sf_dir, "pages"), c("page_id"), X.plain(c("html")), meta={"url": c("url")})
+
+
+def stored_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
+    return list(read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select(F.col("embedding").cast("array<double>")).first()[0])
+
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _one(spark: SparkSession, text: str) -> DataFrame:
+    return search.single(spark, text)
+
+
+def _pos(df: DataFrame) -> DataFrame:
+    return df.withColumn("pos", F.col("pos").cast("long"))
+
+
+# ---------------------------------------------------------------- lexical
+
+
+@query(Sql().lexical(RARE).ands(30).out("SELECT source_id, score, pos FROM ands"))
+def lex_and_topk(spark, sf_dir):
+    hits = documents(spark, sf_dir).lexical(Params(30), _one(spark, RARE))
+    return _pos(hits.select("source_id", "score", "pos"))
+
+
+@query(Sql().lexical(COMMON).ands(50).out("SELECT source_id, score, pos FROM ands"))
+def lex_single_term(spark, sf_dir):
+    return _pos(documents(spark, sf_dir).lexical(Params(50), _one(spark, COMMON)).select("source_id", "score", "pos"))
+
+
+@query(Sql().lexical(RARE).out("SELECT source_id, coverage, score FROM lx"))
+def cover_density_all(spark, sf_dir):
+    found = documents(spark, sf_dir).matches(Params(10), _one(spark, RARE))
+    return found.select("source_id", F.col("coverage").cast("long").alias("coverage"), "score")
+
+
+@query(Sql().lexical(RARE).graded(100, lexical.DF_BUDGET).out("SELECT source_id, coverage, score, pos FROM graded"))
+def coverage_graded(spark, sf_dir):
+    hits = lexical.match_graded(documents(spark, sf_dir).matches(Params(100), _one(spark, RARE)), 100)
+    return _pos(hits.select("source_id", F.col("coverage").cast("long").alias("coverage"), "score", "pos"))
+
+
+@query(Sql().lexical(RARE).graded(100, 100).out("SELECT source_id, coverage, score, pos FROM graded"))
+def anchor_budget(spark, sf_dir):
+    hits = lexical.match_graded(documents(spark, sf_dir).matches(Params(100), _one(spark, RARE)), 100, 100)
+    return _pos(hits.select("source_id", F.col("coverage").cast("long").alias("coverage"), "score", "pos"))
+
+
+@query(Sql().lexical(RARE).anchors(0).out("SELECT lex, df FROM anchors"))
+def anchor_single_rarest(spark, sf_dir):
+    return lexical.anchors(documents(spark, sf_dir).matches(Params(100), _one(spark, RARE)), 0).select("lex", "df")
+
+
+@query(Sql().cosine(0).nearest(20).out("SELECT source_id, score, pos FROM near"))
+def vec_topk(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("source_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return _pos(vector.nearest(vectors, [(0, stored_vector(spark, sf_dir))], 20).select("source_id", "score", "pos"))
+
+
+# ---------------------------------------------------------------- full text
+
+
+_MULTI = Sql().lexical(PAIR, "documents", "d_").ands(15, "d_").lexical(PAIR, "conversations", "c_").ands(15, "c_").lexical(PAIR, "pages", "p_").ands(15, "p_")
+
+
+@query(_MULTI.out("SELECT *, row_number() OVER (ORDER BY score DESC, src, p) AS pos FROM (SELECT 'documents' AS source, source_id, score, 0 AS src, pos AS p FROM d_ands UNION ALL SELECT 'conversations', source_id, score, 1, pos FROM c_ands UNION ALL SELECT 'pages', source_id, score, 2, pos FROM p_ands) QUALIFY pos <= 15", drop=("src", "p")))
+def fulltext_multi(spark, sf_dir):
+    sources = [documents(spark, sf_dir), conversations(spark, sf_dir), pages(spark, sf_dir)]
+    request = Request(query=PAIR, limit=15, lexical_cascade=False)
+    ranking, _, _ = search.fulltext_ranking(spark, sources, request, _one(spark, PAIR))
+    return _pos(rollup.cut(ranking, 15).select("source", "source_id", "score", "pos"))
+
+
+@query(_MULTI.out("SELECT (SELECT count(*) FROM d_ands) + (SELECT count(*) FROM c_ands) + (SELECT count(*) FROM p_ands) AS total_hits"))
+def fulltext_total(spark, sf_dir):
+    sources = [documents(spark, sf_dir), conversations(spark, sf_dir), pages(spark, sf_dir)]
+    ranking, _, _ = search.fulltext_ranking(spark, sources, Request(query=PAIR, limit=15, lexical_cascade=False), _one(spark, PAIR))
+    return ranking.agg(F.count("*").alias("total_hits"))
+
+
+@query(Sql().lexical(PAIR, "documents", "", f"lang = 'en' AND source = 'src7' AND ts_ms >= {NOW - 5 * DAY // 2} AND ts_ms < {NOW - DAY // 2}").ands(20).out("SELECT source_id, score, pos FROM ands"))
+def fulltext_filtered(spark, sf_dir):
+    f = Filters(source_kind="en", since=NOW - 5 * DAY // 2, until=NOW - DAY // 2, speaker="nobody")  # documents have no speaker: ignored
+    return _pos(documents(spark, sf_dir).lexical(Params(20, scope="src7", filters=f), _one(spark, PAIR)).select("source_id", "score", "pos"))
+
+
+@query(Sql().lexical(PAIR, "conversations", "", "role IN ('assistant') AND role = 'assistant' AND conv_id = 3").ands(20).out("SELECT source_id, score, pos FROM ands"))
+def fulltext_owner_session(spark, sf_dir):
+    f = Filters(owners=("assistant",), speaker="assistant", session_id="3")
+    return _pos(conversations(spark, sf_dir).lexical(Params(20, filters=f), _one(spark, PAIR)).select("source_id", "score", "pos"))
+
+
+# ---------------------------------------------------------------- cascade
+
+
+_CASCADE = Sql().lexical(RARE).ands(40).graded(40, lexical.DF_BUDGET).cascade(40)
+
+
+@query(_CASCADE.out("SELECT source_id, score, pos, appended FROM cascaded"))
+def cascade_append(spark, sf_dir):
+    return _pos(documents(spark, sf_dir).lexical(Params(40), _one(spark, RARE), cascade=True).select("source_id", "score", "pos", "appended"))
+
+
+@query(Sql().lexical(PAIR).ands(10).graded(10, lexical.DF_BUDGET).cascade(10).out("SELECT source_id, score, pos, appended FROM cascaded"))
+def cascade_full_no_fire(spark, sf_dir):
+    return _pos(documents(spark, sf_dir).lexical(Params(10), _one(spark, PAIR), cascade=True).select("source_id", "score", "pos", "appended"))
+
+
+@query(_CASCADE.out("SELECT count(*) FILTER (WHERE appended) AS stage2_added, count(*) AS candidates FROM cascaded"))
+def cascade_added_count(spark, sf_dir):
+    hits = documents(spark, sf_dir).lexical(Params(40), _one(spark, RARE), cascade=True)
+    return hits.agg(F.count_if("appended").alias("stage2_added"), F.count("*").alias("candidates"))
+
+
+# ---------------------------------------------------------------- hybrid
+
+
+def _hybrid(spark, sf_dir, limit=10, text=RARE, **options) -> DataFrame:
+    request = Request(query=text, limit=limit, **options)
+    return search.hybrid_batch(spark, [documents(spark, sf_dir)], request, _one(spark, text), [(0, stored_vector(spark, sf_dir))])
+
+
+def _shown(ranking: DataFrame) -> DataFrame:
+    return _pos(ranking.select("key", F.round("score", 9).alias("score"), "pos", F.array_join("rankers", ",").alias("rankers"), F.col("ranker_scores")[LEXICAL].alias("lexical_score"), F.col("ranker_scores")[EMBEDDINGS].alias("semantic_score")))
+
+
+def _fused(limit: int, floor: bool = False, fresh: bool = False, text: str = RARE, lexical_leg: bool = True) -> Sql:
+    sql, cap = Sql(), search.OVERFETCH * limit
+    if lexical_leg:
+        sql.lexical(text).ands(cap).graded(cap, lexical.DF_BUDGET).cascade(cap).listing("cascaded", LEXICAL, 0, FLOORS["lexical"] if floor else None)
+    if fresh:
+        sql.lexical(text, "documents", "f_", f"ts_ms >= {NOW - DAY // 2}").ands(cap, "f_").fresh("f_ands", recency.fresh_seats(limit))
+    sql.cosine(0, "vec_id IN (SELECT doc_id FROM documents)").nearest(cap).listing("near", EMBEDDINGS, 2, FLOORS["embeddings"] if floor else None)
+    return sql.fuse()
+
+
+@query(_fused(10).out("SELECT key, round(score, 9) AS score, pos, rankers, lexical_score, semantic_score FROM fused WHERE pos <= 10"))
+def rrf_hybrid(spark, sf_dir):
+    return _shown(rollup.cut(_hybrid(spark, sf_dir), 10))
+
+
+@query(_fused(10, lexical_leg=False).out("SELECT key, round(score, 9) AS score, pos, rankers, lexical_score, semantic_score FROM fused WHERE pos <= 10"))
+def rrf_embeddings_only(spark, sf_dir):
+    return _shown(rollup.cut(_hybrid(spark, sf_dir, mode="embeddings"), 10))
+
+
+@query(_fused(10).out("SELECT count(*) AS total_hits FROM fused"))
+def rrf_total_hits(spark, sf_dir):
+    return _hybrid(spark, sf_dir).agg(F.count("*").alias("total_hits"))
+
+
+@query(_fused(20, floor=True).out("SELECT key, round(score, 9) AS score, pos, rankers, lexical_score, semantic_score FROM fused"))
+def floors_pre_fusion(spark, sf_dir):
+    return _shown(_hybrid(spark, sf_dir, 20, min_score=FLOORS))
+
+
+@query(Sql().cosine(0).nearest(100).out("SELECT count(*) FILTER (WHERE score >= 0.1) AS candidates, count(*) FILTER (WHERE score < 0.1) AS dropped FROM near"))
+def floors_dropped_counts(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("source_id"), F.col("embedding").cast("array<double>").alias("v"))
+    near = vector.nearest(vectors, [(0, stored_vector(spark, sf_dir))], 100)
+    return floors.floor_counts(near, floors.resolve_floor(FLOORS, EMBEDDINGS)).select("candidates", "dropped")
+
+
+@query(Sql().lexical(PAIR, "documents", "", f"ts_ms >= {NOW - DAY}").ands(60).out("SELECT source_id, score, row_number() OVER (ORDER BY pos) AS pos FROM ands WHERE score >= 2.5"))
+def floors_family(spark, sf_dir):
+    floor = floors.resolve_floor({"lexical": 2.5}, "lexical-fresh")  # the family's
+    hits = documents(spark, sf_dir).lexical(Params(60, filters=Filters(since=NOW - DAY)), _one(spark, PAIR))
+    return _pos(floors.apply_floor(hits, floor).select("query_id", "source_id", "score", "pos").drop("query_id"))
+
+
+# ---------------------------------------------------------------- recency
+
+
+_TIMES = "SELECT f.*, d.ts_ms FROM fused f JOIN docs_all d ON f.key = 'documents:' || d.source_id"
+
+
+def _blended(sql: Sql, blend: str) -> str:
+    fade = f"CASE WHEN ts_ms IS NULL THEN 0e0 ELSE power(0.5e0, greatest(0e0, {NOW}e0 - ts_ms) / {DAY}e0) END"
+    return sql.out(f"""SELECT key, round(blend, 9) AS score, row_number() OVER (ORDER BY blend DESC, pos) AS pos, rankers || CASE WHEN ts_ms IS NULL THEN '' ELSE ',recency' END AS rankers
+        FROM (SELECT *, round({blend.format(fade=fade)}, 12) AS blend FROM ({_TIMES}))""")
+
+
+_LINEAR = "(1 - 0.3e0) * (1 - percent_rank() OVER (ORDER BY score DESC)) + 0.3e0 * ({fade})"
+
+
+@query(_blended(_fused(10), _LINEAR))
+def recency_linear(spark, sf_dir):
+    return _shown(_hybrid(spark, sf_dir, recency=RECENT)).select("key", "score", "pos", "rankers")
+
+
+@query(_blended(_fused(10), "score / max(score) OVER () * power({fade}, 0.5e0)"))
+def recency_multiply(spark, sf_dir):
+    return _shown(_hybrid(spark, sf_dir, recency=MULTIPLY)).select("key", "score", "pos", "rankers")
+
+
+@query(_blended(_fused(10, fresh=True, text=PAIR), _LINEAR))
+def fresh_leg(spark, sf_dir):
+    return _shown(_hybrid(spark, sf_dir, text=PAIR, recency=FRESH)).select("key", "score", "pos", "rankers")
+
+
+@query(f"SELECT event_id, round(CASE WHEN ts IS NULL THEN 0e0 ELSE power(0.5e0, greatest(0e0, {MONTH_END - 10 * DAY}e0 - epoch_us(ts) // 1000) / {3 * DAY}e0) END, 9) AS decay FROM events")
+def time_decay(spark, sf_dir):
+    from ..functions.times import decay
+
+    return read(spark, sf_dir, "events").select("event_id", F.round(decay(millis(F.col("ts")), MONTH_END - 10 * DAY, 3 * DAY), 9).alias("decay"))
+
+
+# ---------------------------------------------------------------- groups, provenance, headlines
+
+
+_TURNS = Sql().lexical(PAIR, "conversations").ands(200)
+
+
+@query(_TURNS.out("SELECT source_id, score, row_number() OVER (ORDER BY pos) AS pos FROM (SELECT *, split_part(source_id, ':', 1) AS g FROM ands QUALIFY row_number() OVER (PARTITION BY g ORDER BY pos) = 1) QUALIFY row_number() OVER (ORDER BY pos) <= 25"))
+def group_top(spark, sf_dir):
+    hits = conversations(spark, sf_dir).lexical(Params(200), _one(spark, PAIR))
+    return _pos(rollup.first_of_groups(hits, F.col("meta")["conv"], 25).select("source_id", "score", "pos"))
+
+
+@query(_TURNS.out("SELECT count(DISTINCT CASE WHEN g <> '1' THEN g END) + count(*) FILTER (WHERE g = '1') AS total_groups FROM (SELECT split_part(source_id, ':', 1) AS g FROM ands)"))
+def group_count(spark, sf_dir):
+    hits = conversations(spark, sf_dir).lexical(Params(200), _one(spark, PAIR))
+    group = F.when(F.col("meta")["conv"] != "1", F.col("meta")["conv"])  # conversation 1 counts as ungrouped rows
+    return rollup.group_counts(hits, group).select("total_groups")
+
+
+@query(_fused(10).out("""SELECT key, CASE WHEN lexical_score IS NOT NULL AND semantic_score IS NOT NULL THEN 'both' WHEN lexical_score IS NOT NULL THEN 'lexical' ELSE 'semantic' END AS matched_by,
+    lexical_score, semantic_score, lexical_score IS NULL AS vector_only FROM fused"""))
+def provenance(spark, sf_dir):
+    ranking = _hybrid(spark, sf_dir)
+    return ranking.select("key", *(c.alias(n) for n, c in P.provenance(F.col("rankers"), F.col("ranker_scores")).items()), P.is_vector_only(F.col("rankers"), F.col("ranker_scores")).alias("vector_only"))
+
+
+@query(_fused(10).out("SELECT key, regexp_replace(substring(text, 1, 200), '(?i)\\b(onesnt|tionre|the)\\b', '<mark>\\1</mark>', 'g') AS highlight FROM fused f JOIN docs_all d ON f.key = 'documents:' || d.source_id WHERE pos <= 10"))
+def highlight(spark, sf_dir):
+    page = rollup.cut(_hybrid(spark, sf_dir), 10)
+    out = search.highlighted(page, [documents(spark, sf_dir)], X.query_lexemes(RARE), Request(query=RARE))
+    return out.select("key", "highlight")
+
+
+@query("SELECT doc_id, substring(text, 1, 200) AS excerpt FROM documents")
+def excerpt(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
+
+
+# ---------------------------------------------------------------- legs, health
+
+
+@query(_fused(20, floor=True).out(f"""SELECT leg, candidates, floored, stage2_added, CASE WHEN candidates > 0 OR floored > 0 THEN 'ran' ELSE 'not-run' END AS status FROM (
+    SELECT 'lexical' AS leg, count(*) FILTER (WHERE score >= {FLOORS["lexical"]}) AS candidates, count(*) FILTER (WHERE score < {FLOORS["lexical"]}) AS floored, count(*) FILTER (WHERE appended) AS stage2_added FROM cascaded
+    UNION ALL SELECT 'semantic', count(*) FILTER (WHERE score >= {FLOORS["embeddings"]}), count(*) FILTER (WHERE score < {FLOORS["embeddings"]}), 0 FROM near)"""))
+def legs_report(spark, sf_dir):
+    source = documents(spark, sf_dir)
+    pool = search.gather(spark, [source], Request(query=RARE, limit=20), _one(spark, RARE), 60, "hybrid", FLOORS, None, NOW, lambda: [(0, stored_vector(spark, sf_dir))])
+    parts = None
+    for _, ranker, _, floor, raw in pool.raw:
+        kept = F.col("score") >= F.lit(floor)
+        part = raw.select(L.leg_column(F.lit(ranker)).alias("leg"), kept.alias("kept"), "appended")
+        parts = part if parts is None else parts.unionByName(part)
+    counts = parts.groupBy("leg").agg(F.count_if("kept").alias("candidates"), F.count_if(~F.col("kept")).alias("floored"), F.count_if("appended").alias("stage2_added"))
+    return counts.withColumn("status", L.status_column(F.lit(True), F.lit(False), F.lit(1), F.lit(0)))
+
+
+def _samples(spark, sf_dir) -> DataFrame:
+    kind = F.col("event_type")
+    flags = {"degraded": kind == "error", "lexical_errored": F.col("value") > 90, "semantic_errored": F.col("value") < 1, "lexical_empty": kind == "view", "semantic_empty": kind == "click"}
+    return read(spark, sf_dir, "events").select("event_id", millis(F.col("ts")).alias("at_ms"), F.col("ts").cast("timestamp").alias("at"), *(c.alias(n) for n, c in flags.items()))
+
+
+_SAMPLES = "SELECT epoch_us(ts) // 1000 AS at_ms, ts, event_type = 'error' AS degraded, value > 90 AS lexical_errored, value < 1 AS semantic_errored, event_type = 'view' AS lexical_empty, event_type = 'click' AS semantic_empty FROM events"
+_FLAG_COUNTS = ", ".join(f"count(*) FILTER (WHERE {f}) AS {f}" for f in health.FLAGS)
+
+
+@query(f"SELECT count(*) AS samples, {_FLAG_COUNTS}, min(at_ms) AS oldest_ms, max(at_ms) AS newest_ms, round(count(*) FILTER (WHERE degraded) / count(*)::DOUBLE, 9) AS degraded_rate FROM ({_SAMPLES}) WHERE at_ms >= {MONTH_END - 10 * DAY} AND at_ms <= {MONTH_END}")
+def leg_health(spark, sf_dir):
+    return health.trailing_health(_samples(spark, sf_dir), 10 * DAY, MONTH_END).withColumn("degraded_rate", F.round("degraded_rate", 9))
+
+
+@query(f"SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS samples, {_FLAG_COUNTS}, round(count(*) FILTER (WHERE degraded) / count(*)::DOUBLE, 9) AS degraded_rate FROM ({_SAMPLES}) GROUP BY 1")
+def leg_health_windows(spark, sf_dir):
+    out = health.windowed_health(_samples(spark, sf_dir), "1 day")
+    return out.drop("window_end").withColumns({"degraded_rate": F.round("degraded_rate", 9), "window_start": F.col("window_start").cast("timestamp_ntz")})
+
+
+# ---------------------------------------------------------------- batches
+
+
+def _batch_sql() -> str:
+    sql = Sql()
+    for q, text in BATCH:
+        sql.lexical(text, "documents", f"q{q}_").ands(30, f"q{q}_").graded(30, lexical.DF_BUDGET, f"q{q}_").cascade(30, f"q{q}_").listing(f"q{q}_cascaded", LEXICAL, 0, query=q)
+        if q in BATCH_VECTORS:
+            sql.cosine(BATCH_VECTORS[q], "vec_id IN (SELECT doc_id FROM documents)", f"q{q}_").nearest(30, f"q{q}_").listing(f"q{q}_near", EMBEDDINGS, 2, query=q)
+    return sql.fuse().out("SELECT query_id, key, round(score, 9) AS score, pos, rankers FROM fused WHERE pos <= 10")
+
+
+@query(_batch_sql())
+def batch_rrf(spark, sf_dir):
+    queries = spark.createDataFrame(BATCH, "query_id long, text string")
+    vectors = [(q, stored_vector(spark, sf_dir, v)) for q, v in BATCH_VECTORS.items()]
+    ranking = search.hybrid_batch(spark, [documents(spark, sf_dir)], Request(limit=10), queries, vectors)
+    return _pos(rollup.cut(ranking, 10).select("query_id", "key", F.round("score", 9).alias("score"), "pos", F.array_join("rankers", ",").alias("rankers")))
+
+
+@query(_fused(10).out("SELECT round(sum(round(1e0 / (60 + pos), 12)), 9) AS mass, max(pos) AS longest, count(*) AS entries FROM entries"))
+def rrf_entries(spark, sf_dir):
+    pool = search.gather(spark, [documents(spark, sf_dir)], Request(query=RARE, limit=10), _one(spark, RARE), 30, "hybrid", {}, None, NOW, lambda: [(0, stored_vector(spark, sf_dir))])
+    entries = pool.listings[0].unionByName(pool.listings[1])
+    return entries.agg(F.round(F.sum(F.round(F.lit(1.0) / (fusion.K + F.col("pos")), 12)), 9).alias("mass"), F.max("pos").cast("long").alias("longest"), F.count("*").alias("entries"))

@@ -1,0 +1,247 @@
+"""The two entry points: full-text search, and hybrid search fused by reciprocal rank.
+
+Everything is planned for a batch of queries; one query is a batch of one.  Legs are independent branches of one plan.
+The order of steps is fixed: cap, cascade, floor, new positions, fresh dedupe, seats, fusion, recency, rollup, cut,
+headlines.
+"""
+
+from __future__ import annotations
+
+import logging
+import time
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import query_lexemes
+from ..operators import floors, fusion, recency, rollup
+from ..schema import EMBEDDINGS, FRESH, LEXICAL, Recency, Request
+from ..sources.tables import TableSource
+from ..streaming.health import observe_legs
+from . import legs as L
+from .embedding import Embedding
+from .policy import resolve_search_defaults
+
+log = logging.getLogger("rankweave")
+OVERFETCH = 3
+
+
+@dataclass
+class SearchResult:
+    """hits (ordered by pos), the number of hits before the cut, and what the legs did."""
+
+    hits: DataFrame
+    total_hits: int
+    legs: L.SearchLegs
+    applied: dict[str, bool]
+    total_groups: int | None = None
+    embedder_available: bool | None = None
+
+
+@dataclass
+class Pool:
+    """Listings of a batch with their counts still to be taken."""
+
+    listings: list[DataFrame] = field(default_factory=list)
+    raw: list[tuple[str, str, str, float | None, DataFrame]] = field(default_factory=list)  # leg, ranker, source, floor, before the floor
+    lexical: L.LegAccumulator = field(default_factory=L.LegAccumulator)
+    semantic: L.LegAccumulator = field(default_factory=L.LegAccumulator)
+
+
+def single(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame([(0, text)], "query_id long, text string")
+
+
+def _say(request: Request, message: str) -> None:
+    log.info(message)
+    if request.log is not None:
+        request.log(message)
+
+
+def _held(spark: SparkSession, leg: DataFrame, eager: bool) -> DataFrame:
+    """A leg that runs by itself if asked to, so that its failure is its own; a leg has at most its cap of rows a query."""
+    return spark.createDataFrame(leg.collect(), leg.schema) if eager else leg
+
+
+def _failed(acc: L.LegAccumulator, request: Request, ranker: str, source: str, error: Exception) -> None:
+    acc.calls_failed += 1
+    acc.failures.append((source, str(error).splitlines()[0] if str(error) else type(error).__name__))
+    _say(request, f"{ranker} {source} skipped: {error}")
+
+
+def _check(request: Request) -> None:
+    if request.signal is not None:
+        request.signal.check()
+
+
+def gather(spark: SparkSession, sources: list[TableSource], request: Request, queries: DataFrame, cap: int, mode: str, min_score: dict[str, float], rec: Recency | None, now_ms: int, vectors=None) -> Pool:
+    """Listings of all legs.  vectors is a function that waits for the query vectors, or None."""
+    pool, n = Pool(), len(sources)
+    widen = request.lexical_cascade and request.lexical_mode is None
+    params = request.params(cap)
+    since = recency.fresh_since(rec, mode, request.filters.since, now_ms)
+    if mode != "embeddings":
+        pool.lexical.attempted = True
+        for i, s in enumerate(sources):
+            _check(request)
+            main = None
+            floor = floors.resolve_floor(min_score, LEXICAL)
+            try:
+                main = _held(spark, s.lexical(params, queries, widen, LEXICAL, 2 * i), request.materialize_legs)
+                pool.lexical.calls_run += 1
+                pool.raw.append(("lexical", LEXICAL, s.name, floor, main))
+                main = floors.apply_floor(main, floor).drop("appended")
+                pool.listings.append(main)
+            except Exception as e:
+                _check(request)
+                _failed(pool.lexical, request, LEXICAL, s.name, e)
+            if since is None:
+                continue
+            floor = floors.resolve_floor(min_score, FRESH)
+            try:
+                fresh_params = replace(params, filters=replace(params.filters, since=since))
+                fresh = _held(spark, s.lexical(fresh_params, queries, False, FRESH, 2 * i + 1), request.materialize_legs)
+                pool.raw.append(("lexical", FRESH, s.name, floor, fresh))
+                pool.listings.append(recency.fresh_rows(floors.apply_floor(fresh, floor).drop("appended"), main, recency.fresh_seats(request.limit)))
+            except Exception as e:
+                _check(request)
+                _failed(pool.lexical, request, FRESH, s.name, e)
+    found: list[tuple[int, list[float]]] = []
+    if vectors is not None:
+        pool.semantic.attempted = True
+        try:
+            found = vectors()
+        except Exception as e:
+            _check(request)
+            pool.semantic.blocked = f"query embed failed: {e}"
+            _say(request, pool.semantic.blocked)
+    if found:
+        floor = floors.resolve_floor(min_score, EMBEDDINGS)
+        for i, s in enumerate(sources):
+            if s.vectors is None:
+                continue
+            _check(request)
+            try:
+                near = _held(spark, s.embedding(params, found, 2 * n + i), request.materialize_legs)
+                pool.semantic.calls_run += 1
+                pool.raw.append(("semantic", EMBEDDINGS, s.name, floor, near))
+                pool.listings.append(floors.apply_floor(near, floor).drop("appended"))
+            except Exception as e:
+                _check(request)
+                _failed(pool.semantic, request, EMBEDDINGS, s.name, e)
+    return pool
+
+
+def _nothing(spark: SparkSession) -> DataFrame:
+    from ..schema import LISTING
+
+    return spark.createDataFrame([], LISTING)
+
+
+def fused_pool(spark: SparkSession, pool: Pool, rec: Recency | None, now_ms: int) -> DataFrame:
+    fused = fusion.fuse(pool.listings or [_nothing(spark)])
+    return recency.rerank(fused, rec, now_ms) if rec is not None else fused
+
+
+def page_of(ranking: DataFrame, limit: int, group_by: Column | None) -> DataFrame:
+    return rollup.first_of_groups(ranking, group_by, limit) if group_by is not None else rollup.cut(ranking, limit)
+
+
+def highlighted(page: DataFrame, sources: list[TableSource], words: list[str], request: Request) -> DataFrame:
+    """Adds highlight, computed for the page's ids only; a source whose headlines fail keeps the excerpt."""
+    parts = []
+    for s in sources:
+        _check(request)
+        if not s.hydrates:
+            continue
+        try:
+            parts.append(s.highlights(page.where(F.col("source") == s.name), words).select(F.lit(s.name).alias("source"), "source_id", "highlight"))
+        except Exception as e:
+            _check(request)
+            _say(request, f"highlight {s.name} failed: {e}")
+    if not parts:
+        return page.withColumn("highlight", F.col("excerpt"))
+    made = reduce(DataFrame.unionByName, parts)
+    return page.join(made, ["source", "source_id"], "left").withColumn("highlight", F.coalesce("highlight", "excerpt"))
+
+
+def _count(pool: Pool, request: Request) -> None:
+    """Fills the accumulators from one aggregate over all listings, a row for each leg and source."""
+    if not pool.raw:
+        return
+    parts = []
+    for k, (_, _, _, floor, raw) in enumerate(pool.raw):
+        kept = F.lit(True) if floor is None else ~F.isnan("score") & (F.col("score") >= F.lit(floor))
+        parts.append(raw.select(F.lit(k).alias("k"), kept.alias("kept"), "appended"))
+    kept = {r["k"]: r for r in reduce(DataFrame.unionByName, parts).groupBy("k").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"), F.count_if("appended").alias("added")).collect()}
+    given = {r["ranker"]: r["n"] for r in reduce(DataFrame.unionByName, pool.listings).groupBy("ranker").agg(F.count("*").alias("n")).collect()}
+    for k, (leg, ranker, source, floor, _) in enumerate(pool.raw):
+        if k in kept:
+            acc, r = getattr(pool, leg), kept[k]
+            acc.floored += r["n"] - r["kept"]
+            acc.stage2_added += r["added"]
+            if floor is not None and r["n"] > r["kept"]:
+                _say(request, floors.floor_message(ranker, source, floor, r["n"] - r["kept"], r["n"]))
+    for ranker, n in given.items():
+        getattr(pool, L.leg_of_ranker(ranker)).candidates += n
+
+
+def _report(pool: Pool, request: Request) -> L.SearchLegs:
+    _count(pool, request)
+    return observe_legs(L.summarise_legs(L.finalise_leg(pool.lexical), L.finalise_leg(pool.semantic)))
+
+
+def fulltext_ranking(spark: SparkSession, sources: list[TableSource], request: Request, queries: DataFrame) -> tuple[DataFrame, Pool, dict[str, bool]]:
+    """All rows of all sources' term listings by native score; ties go by source, then by place.  No dedupe."""
+    resolved = resolve_search_defaults(request, "fulltext")
+    pool = gather(spark, sources, request, queries, request.limit, "fulltext", resolved.min_score, None, 0)
+    rows = reduce(DataFrame.unionByName, pool.listings or [_nothing(spark)])
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "input_ord", "pos")
+    ranking = rows.withColumn("final", F.row_number().over(order)).withColumn("pos", F.col("final"))
+    ranking = ranking.withColumns({"rankers": F.array("ranker"), "ranker_scores": F.create_map("ranker", "score")})
+    return ranking.drop("final", "ranker", "input_ord"), pool, resolved.applied
+
+
+def run_full_text_search(spark: SparkSession, sources: list[TableSource], request: Request) -> SearchResult:
+    """Term search over all sources, ranked by native score."""
+    _check(request)
+    ranking, pool, applied = fulltext_ranking(spark, sources, request, single(spark, request.query))
+    ranking = ranking.cache()  # at most limit rows a source
+    total = ranking.count()
+    legs = _report(pool, request)
+    hits = highlighted(rollup.cut(ranking, request.limit), sources, query_lexemes(request.query), request)
+    return SearchResult(hits, total, legs, applied)
+
+
+def run_hybrid_search(spark: SparkSession, sources: list[TableSource], request: Request) -> SearchResult:
+    """Term and vector search fused by reciprocal rank, or vector search alone in mode 'embeddings'."""
+    _check(request)
+    resolved = resolve_search_defaults(request, request.mode)
+    rec = resolved.recency
+    now_ms = rec.now_ms if rec is not None and rec.now_ms is not None else int(time.time() * 1000)
+    embedding = Embedding(request.embedder, request.query) if request.embedder is not None else None
+    vectors = (lambda: [(0, embedding.result(request.embed_timeout_ms, request.signal))]) if embedding else None
+    pool = gather(spark, sources, request, single(spark, request.query), OVERFETCH * request.limit, request.mode, resolved.min_score, rec, now_ms, vectors)
+    ranking = fused_pool(spark, pool, rec, now_ms).cache()  # at most three listings of 3 * limit rows a source
+    total = ranking.count()
+    groups = None
+    if request.group_by is not None:
+        first = rollup.group_counts(ranking, request.group_by).first()
+        groups = first["total_groups"] if first else 0
+    legs = _report(pool, request)
+    _check(request)
+    page = page_of(ranking, request.limit, request.group_by)
+    page = highlighted(page, sources, query_lexemes(request.query), request)
+    return SearchResult(page, total, legs, resolved.applied, groups, embedding is not None and pool.semantic.blocked is None)
+
+
+def hybrid_batch(spark: SparkSession, sources: list[TableSource], request: Request, queries: DataFrame, vectors: list[tuple[int, list[float]]] | None = None) -> DataFrame:
+    """The fused ranking of every query of a batch (query_id, text), as one lazy plan; pos is the place in it."""
+    resolved = resolve_search_defaults(request, request.mode)
+    rec: Any = resolved.recency
+    now_ms = rec.now_ms if rec is not None and rec.now_ms is not None else int(time.time() * 1000)
+    pool = gather(spark, sources, request, queries, OVERFETCH * request.limit, request.mode, resolved.min_score, rec, now_ms, (lambda: vectors) if vectors else None)
+    return fused_pool(spark, pool, rec, now_ms)
