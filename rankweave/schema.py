@@ -11,9 +11,22 @@ from pyspark.sql import Column
 from pyspark.sql import types as T
 
 #: A listing's columns.  pos is 1-based within (query_id, input_ord) and is recomputed after every filter.
-LISTING = T._parse_datatype_string(
-    "query_id long, source string, source_id string, key string, ranker string, input_ord int, pos int, score double, "
-    "ts_ms long, scope string, excerpt string, rerank_score double, meta map<string,string>"
+LISTING = T.StructType(
+    [
+        T.StructField("query_id", T.LongType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("source_id", T.StringType()),
+        T.StructField("key", T.StringType()),
+        T.StructField("ranker", T.StringType()),
+        T.StructField("input_ord", T.IntegerType()),
+        T.StructField("pos", T.IntegerType()),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("ts_ms", T.LongType()),
+        T.StructField("scope", T.StringType()),
+        T.StructField("excerpt", T.StringType()),
+        T.StructField("rerank_score", T.DoubleType()),
+        T.StructField("meta", T.MapType(T.StringType(), T.StringType())),
+    ]
 )
 #: What a source gives for each row.
 ROW = ["source_id", "ts_ms", "scope", "excerpt", "rerank_score", "meta"]
