@@ -26,6 +26,7 @@ MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 REQUEST = "dest long, src long, kind int, body binary"
 REPLY = "g long, dest long, kind int, body binary"
 ASK, STATE = 0, 1
+BLOCK = "__block__"
 
 
 # ---------------------------------------------------------------- storage
@@ -216,10 +217,10 @@ def anchors(rolling: Rolling, bounds: np.ndarray, window: int, k: int) -> tuple[
 
 
 def grouped(docs: DataFrame, block_bytes: int, n: int, extra: list[str]) -> DataFrame:
-    """documents dealt over blocks (column g) of about block_bytes of input, several to a partition."""
+    """documents dealt over blocks (column BLOCK) of about block_bytes of input, several to a partition."""
     more = [c for c in extra if c != "text"]
-    blocks = max(2 * n, -(-input_bytes(docs) // block_bytes))
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("g"), "doc_id", "text", *more).repartition(n, "g")
+    blocks = max(n, -(-input_bytes(docs) // block_bytes))
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias(BLOCK), "doc_id", "text", *more).repartition(n, BLOCK)
 
 
 def split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -335,17 +336,17 @@ def beaten(owner: np.ndarray, key: np.ndarray, second: np.ndarray, value: np.nda
 def converse(docs: DataFrame, n: int, buckets: int, steps: list[tuple[Callable, Callable]], final: Callable, schema: T.StructType) -> DataFrame:
     """Rounds in which every block sends keys to buckets and gets a value back for each, then the blocks' results.
 
-    docs has the columns g, doc_id, text and is partitioned by g; all rounds reuse that one exchange of the texts.
+    docs has the columns BLOCK, doc_id, text and is partitioned by BLOCK; all rounds reuse that one exchange of the texts.
     A step is (emit, answer): emit(g, block, replies or None, buckets) -> requests table; final(g, block, replies) -> rows.
     """
     replies: DataFrame | None = None
     for emit, answer in steps:
         if replies is None:
-            sent = docs.groupBy("g").applyInArrow(_first(emit, buckets), REQUEST)
+            sent = docs.groupBy(BLOCK).applyInArrow(_first(emit, buckets), REQUEST)
         else:
-            sent = docs.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_later(emit, buckets), REQUEST)
+            sent = docs.groupBy(BLOCK).cogroup(replies.groupBy("g")).applyInArrow(_later(emit, buckets), REQUEST)
         replies = sent.repartition(buckets, "dest").groupBy("dest").applyInArrow(answer, REPLY).repartition(n, "g")
-    return docs.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_last(final), schema)
+    return docs.groupBy(BLOCK).cogroup(replies.groupBy("g")).applyInArrow(_last(final), schema)
 
 
 def _ordered(t: pa.Table) -> pa.Table:

@@ -248,7 +248,7 @@ def _run(docs: DataFrame, how: Repeats, final, schema: str, block_bytes: int, ke
             out = out.append_column(c, t[c])
         return out
 
-    return B.converse(B.grouped(docs, block_bytes, n, extra), n, 2 * n, _steps(how), last, full)
+    return B.converse(B.grouped(docs, block_bytes, n, extra), n, n, _steps(how), last, full)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16, block_bytes: int = 1 << 18, keep: list[str] = []) -> DataFrame:  # noqa: B006
