@@ -23,7 +23,7 @@ WORD = B.byte_table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B),
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-PART = "doc_id long, h long, n_words long, hit binary, items array<long>"
+PART = "doc_id long, __hash__ long, n_words long, hit binary, items array<long>"
 FILTER_BITS = 20
 
 
@@ -158,13 +158,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     if blocks == 1:
         docs = docs.select("doc_id", "text", *(c for c in extra if c != "text"))
         return docs.mapInArrow(_whole(_index(benchmark, window, k), extra), schema)
-    parts = [docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_part(_index(benchmark.where(block == i), window, k)), PART) for i in range(blocks)]
-    found = reduce(DataFrame.union, parts).groupBy("doc_id", "h").applyInArrow(_joined(blocks), f"{RESULT}, h long")
+    parts = [docs.select("doc_id", "text", F.xxhash64("text").alias("__hash__")).mapInArrow(_part(_index(benchmark.where(block == i), window, k)), PART) for i in range(blocks)]
+    found = reduce(DataFrame.union, parts).groupBy("doc_id", "__hash__").applyInArrow(_joined(blocks), f"{RESULT}, __hash__ long")
     if not extra:
-        return found.drop("h")
-    found = found.dropDuplicates(["doc_id", "h"]).withColumnRenamed("doc_id", "found_id")
-    docs = docs.select("doc_id", F.xxhash64("text").alias("key"), *extra)
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]) & (F.col("key") == F.col("h"))).select([f.name for f in schema])
+        return found.drop("__hash__")
+    found = found.dropDuplicates(["doc_id", "__hash__"]).withColumnRenamed("doc_id", "__found__")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("__key__"), *extra)
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__found__"]) & F.col("__key__").eqNullSafe(F.col("__hash__"))).select([f.name for f in schema])
 
 
 def _index(benchmark: DataFrame, window: int, k: int) -> Index:
@@ -203,7 +203,7 @@ def _part(index: Index):
                 bounds, hit, doc, item = index.hits(b.column("text"))
                 n_words, _, items = _rows(bounds, hit, doc, item)
                 masks = [np.packbits(hit[a:z]).tobytes() for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.record_batch({"doc_id": b.column("doc_id").cast(pa.int64()), "h": b.column("h"), "n_words": pa.array(n_words, pa.int64()), "hit": pa.array(masks, pa.binary()), "items": pa.array(items, pa.list_(pa.int64()))})
+                yield pa.record_batch({"doc_id": b.column("doc_id").cast(pa.int64()), "__hash__": b.column("__hash__"), "n_words": pa.array(n_words, pa.int64()), "hit": pa.array(masks, pa.binary()), "items": pa.array(items, pa.list_(pa.int64()))})
 
     return run
 
@@ -216,7 +216,7 @@ def _joined(blocks: int):
             hit |= np.frombuffer(m, np.uint8)
         items, copies = sorted(set().union(*t["items"].to_pylist())), len(t) // blocks
         table = _table(t["doc_id"].slice(0, copies), [n] * copies, [int(np.unpackbits(hit).sum())] * copies, [items] * copies)
-        return pa.table(table | {"h": t["h"].slice(0, copies)})
+        return pa.table(table | {"__hash__": t["__hash__"].slice(0, copies)})
 
     return run
 

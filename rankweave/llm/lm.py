@@ -159,11 +159,11 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary:
     B.small_batches(spark)
     keys = Keys(frequent_words(docs, vocabulary))
     n = B.partitions(spark)
-    blocks = max(2 * n, -(-B.input_bytes(docs) // block_bytes))
+    blocks = max(n, -(-B.input_bytes(docs) // block_bytes))
     block = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(blocks))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).alias("g")
     dealt = docs.select(block, "doc_id", "text").repartition(n, "g")
     wanted = target_ids.select("doc_id").where("doc_id is not null").distinct().select(block_of_ids(blocks), "doc_id").repartition(n, "g")
-    buckets = 2 * n
+    buckets = n
 
     def count(key: tuple[pa.Scalar, ...], t: pa.Table, ids: pa.Table) -> pa.Table:
         g = key[0].as_py() if key[0].as_py() is not None else 0

@@ -1,0 +1,37 @@
+"""The pipeline's stages one by one on planted rows, and the registry."""
+
+import corpus_pipeline as C
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from rankweave.llm import blocks
+
+
+def test_stages_keep_clean_documents_and_take_effect(spark, tmp_path):
+    clean = [(i, " ".join(f"word{(i * 31 + j * j * 7) % 997}q{(i + j) % 13}" for j in range(90)), "en", "s", 5) for i in range(12)]
+    passage = " ".join(f"passage{i}" for i in range(60))
+    item = " ".join(f"bench{i}" for i in range(20))
+    own = [" ".join(f"own{k}a{j}" for j in range(120)) for k in range(2)]
+    planted = [(20, clean[3][1], "en", "s", 5), (21, f"{own[0]} {passage}", "en", "s", 5), (22, f"{own[1]} {passage} others", "en", "s", 5), (23, f"about {item} here", "en", "s", 5), (24, "123 456", None, "s", 7), (25, None, None, None, None)]
+    spark.createDataFrame(clean + planted, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in C.STAGES[:-1]:
+        docs = blocks.stored(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == C.COLUMNS
+        seen[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = set(range(12))
+    assert set(seen["language_id"]) == ids | {20, 21, 22, 23}
+    assert set(seen["near_dedup"]) == ids | {21, 22, 23}
+    assert seen["substring_dedup"][22] == f"{own[1]} others" and passage in seen["substring_dedup"][21]
+    assert set(seen["decontamination"]) == ids | {21, 22}
+    assert all(seen["decontamination"][i] == t for i, t, *_ in clean)
+    packed = C.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in packed.collect()} == ids | {21, 22}
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_every_operator_and_the_pipeline_are_registered():
+    names = __spark_entry__.queries()
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert set(__spark_entry__.oracle_sql()) <= set(names) and len(C.STAGES) == 5
