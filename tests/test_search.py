@@ -1,0 +1,217 @@
+"""Both entry points over small tables: merging, degradation, abort, budgets, policy, leg reports and health."""
+
+import threading
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from rankweave.plans import legs as L
+from rankweave.plans import policy, search
+from rankweave.plans.embedding import EmbedTimeoutError, Embedding
+from rankweave.schema import Aborted, Filters, Recency, Request, Signal
+from rankweave.sources.tables import TableSource
+from rankweave.streaming import health
+
+DAY = 86_400_000
+NOW = 1_700_000_000_000
+NOTES = [(1, "red fox runs", "a", NOW - 30 * DAY), (2, "red red fox", "a", NOW - 20 * DAY), (3, "red house", "b", NOW), (4, "blue fox", "b", NOW - DAY), (5, "nothing", None, None)]
+VECTORS = [("1", [1.0, 0.0]), ("3", [0.8, 0.6]), ("5", [0.0, 1.0])]
+
+
+@pytest.fixture(scope="module")
+def notes(spark):
+    table = spark.createDataFrame(NOTES, "id long, body string, owner string, at long").cache()
+    vectors = spark.createDataFrame(VECTORS, "source_id string, v array<double>").cache()
+    c = F.col
+    return TableSource("notes", table, c("id"), c("body"), ts_ms=c("at"), owner=c("owner"), scope=c("owner"), vectors=vectors, meta={"owner": c("owner")})
+
+
+@pytest.fixture(autouse=True)
+def clean():
+    policy.reset_search_defaults()
+    health.reset_leg_health()
+
+
+class Broken(TableSource):
+    def matches(self, *_):
+        raise RuntimeError("no index here")
+
+    def embedding(self, *_):
+        raise RuntimeError("no vectors here")
+
+    def highlights(self, *_):
+        raise RuntimeError("no headlines here")
+
+
+def broken(notes):
+    return Broken("bad", notes.table, notes.id, notes.text, vectors=notes.vectors)
+
+
+def ids(result):
+    return [r["source_id"] for r in result.hits.orderBy("pos").collect()]
+
+
+def test_full_text_ranks_by_native_score_and_counts_before_the_cut(spark, notes):
+    r = search.run_full_text_search(spark, [notes], Request(query="red fox", limit=1, lexical_cascade=False))
+    assert ids(r) == ["2"] or ids(r) == ["1"]
+    wide = search.run_full_text_search(spark, [notes], Request(query="red fox runs", limit=5))
+    rows = wide.hits.orderBy("pos").collect()
+    assert {x["source_id"] for x in rows} == {"1", "2"} and wide.total_hits == 2 and wide.legs.lexical.stage2_added == 1
+    assert max(x["highlight"].count("<mark>") for x in rows) == 3 and wide.legs.semantic.status == "not-run"
+    assert wide.applied == {"min_score": False, "recency": False} and not wide.legs.degraded
+
+
+def test_same_id_in_two_sources_is_two_rows(spark, notes):
+    twin = TableSource("twin", notes.table, notes.id, notes.text)
+    r = search.run_full_text_search(spark, [notes, twin], Request(query="house", limit=5))
+    assert [(x["source"], x["source_id"]) for x in r.hits.orderBy("pos").collect()] == [("notes", "3"), ("twin", "3")]
+
+
+def test_filters_that_a_source_lacks_are_ignored(spark, notes):
+    f = Filters(owners=("b",), speaker="me", session_id="s", source_kind="k", since=NOW - DAY, until=NOW)
+    r = search.run_full_text_search(spark, [notes], Request(query="fox", limit=5, filters=f))
+    assert ids(r) == ["4"]
+    assert ids(search.run_full_text_search(spark, [notes], Request(query="fox", limit=5, scope="a", workspace_id="w"))) == ["1", "2"]
+
+
+def test_hybrid_fuses_both_rankers(spark, notes):
+    r = search.run_hybrid_search(spark, [notes], Request(query="red fox", limit=3, embedder=lambda _: [1.0, 0.0], min_score={"embeddings": 0.5}, group_by=F.col("meta")["owner"]))
+    rows = r.hits.orderBy("pos").collect()
+    assert rows[0]["source_id"] == "1" and rows[0]["rankers"] == ["lexical", "embeddings"] and rows[0]["ranker_scores"]["embeddings"] == 1.0
+    assert r.embedder_available and r.legs.semantic.floored == 1 and r.legs.semantic.candidates == 2 and r.total_groups == 2 and len(rows) == 2
+    assert r.applied == {"min_score": True, "recency": False} and health.leg_health_observed_count() == 1
+
+
+def test_embeddings_mode_without_a_vector_is_empty_and_healthy(spark, notes):
+    r = search.run_hybrid_search(spark, [notes], Request(query="red", mode="embeddings"))
+    assert ids(r) == [] and r.total_hits == 0 and not r.legs.degraded and r.embedder_available is False
+
+
+def test_recency_and_the_fresh_leg_lift_a_starved_row(spark):
+    rows = [(i, "red " * (12 - i), NOW - 30 * DAY) for i in range(1, 8)] + [(9, "red", NOW - DAY // 24)]
+    table = spark.createDataFrame(rows, "id long, body string, at long")
+    source = TableSource("t", table, F.col("id"), F.col("body"), ts_ms=F.col("at"))
+    base = dict(query="red", limit=2, lexical_cascade=False)
+    without = search.run_hybrid_search(spark, [source], Request(**base, recency=Recency(DAY, 0.3, now_ms=NOW)))
+    fresh = search.run_hybrid_search(spark, [source], Request(**base, recency=Recency(DAY, 0.3, fresh_window_ms=2 * DAY, now_ms=NOW)))
+    assert "9" not in ids(without) and ids(fresh)[0] == "9" and fresh.applied["recency"]
+
+
+def test_a_broken_source_degrades_and_the_others_go_on(spark, notes):
+    said = []
+    r = search.run_hybrid_search(spark, [broken(notes), notes], Request(query="red fox", limit=3, embedder=lambda _: [1.0, 0.0], log=said.append))
+    assert ids(r)[0] == "1" and r.legs.degraded and r.legs.lexical.calls_failed == 1 and "bad (no index here)" in r.legs.warning
+    assert any("headlines" in m for m in said)
+    alone = search.run_full_text_search(spark, [broken(notes)], Request(query="red"))
+    assert alone.legs.lexical.status == "errored" and "every lexical source call failed" in alone.legs.warning
+
+
+def test_failures_at_run_time_are_caught_if_legs_are_materialized(spark, notes):
+    bad = notes.table.withColumn("body", F.when(F.col("id") > 0, F.raise_error(F.lit("boom"))).otherwise(F.col("body")))
+    source = TableSource("late", bad, F.col("id"), F.col("body"))
+    r = search.run_full_text_search(spark, [source, notes], Request(query="house", materialize_legs=True))
+    assert ids(r) == ["3"] and r.legs.lexical.calls_failed == 1
+
+
+def test_a_failed_embedding_blocks_only_the_semantic_leg(spark, notes):
+    def fails(_):
+        raise RuntimeError("model is away")
+
+    r = search.run_hybrid_search(spark, [notes], Request(query="red fox", limit=2, embedder=fails))
+    assert r.legs.semantic.blocked == "query embed failed: model is away" and r.legs.semantic.status == "errored" and ids(r)
+    assert "semantic leg blocked" in r.legs.warning and not r.embedder_available
+    slow = search.run_hybrid_search(spark, [notes], Request(query="red fox", limit=2, embedder=lambda _: time.sleep(60), embed_timeout_ms=1))
+    assert "exceeded 1ms budget" in slow.legs.semantic.blocked
+
+
+def test_embedding_budget_starts_at_once_and_zero_is_unbounded():
+    began = threading.Event()
+    e = Embedding(lambda _: began.set() or time.sleep(0.1) or [1.0], "q")
+    assert began.wait(5) and e.result(0) == [1.0]
+    with pytest.raises(EmbedTimeoutError) as failure:
+        Embedding(lambda _: time.sleep(5), "q").result(30)
+    assert failure.value.budget_ms == 30
+    with pytest.raises(ValueError):
+        Embedding(lambda _: [], "q").result()
+
+
+def test_abort_never_gives_a_partial_result(spark, notes):
+    signal = Signal()
+    signal.abort()
+    for run in (search.run_full_text_search, search.run_hybrid_search):
+        with pytest.raises(Aborted):
+            run(spark, [notes], Request(query="red", signal=signal))
+    late = Signal()
+    threading.Timer(0.2, late.abort).start()
+    with pytest.raises(Aborted):
+        search.run_hybrid_search(spark, [notes], Request(query="red", signal=late, embedder=lambda _: time.sleep(30)))
+
+
+def test_policy_gives_way_to_values_and_to_off(spark, notes):
+    seen = []
+    embedder = lambda _: [1.0, 0.0]
+    policy.configure_search_defaults(policy.SearchDefaults(min_score=lambda c: seen.append(c) or {"embeddings": 0.9}))
+    base = dict(query="zzz", limit=5, embedder=embedder)
+    assert ids(search.run_hybrid_search(spark, [notes], Request(**base))) == ["1"]
+    assert seen[0].embedder is embedder and (seen[0].mode, seen[0].limit) == ("hybrid", 5)
+    assert len(ids(search.run_hybrid_search(spark, [notes], Request(**base, min_score=False)))) == 3
+    assert len(ids(search.run_hybrid_search(spark, [notes], Request(**base, min_score={"embeddings": 0.5})))) == 2
+    policy.configure_search_defaults(policy.SearchDefaults(recency=lambda c: 1 / 0))
+    assert policy.search_defaults_host().min_score is None  # replaced, not merged
+    assert search.run_hybrid_search(spark, [notes], Request(**base)).applied == {"min_score": False, "recency": False}
+
+
+def leg(**k):
+    return L.finalise_leg(L.LegAccumulator(**k))
+
+
+def test_leg_status():
+    assert leg().status == "not-run" and leg(attempted=True).status == "not-run"
+    assert leg(attempted=True, calls_run=1).status == "ran" and leg(attempted=True, calls_run=1, calls_failed=2).status == "ran"
+    assert leg(attempted=True, calls_failed=2).status == "errored" and leg(attempted=True, blocked="x", calls_run=1).status == "errored"
+    assert [L.leg_of_ranker(r) for r in ("lexical-fresh", "bm25", "embeddings", "other")] == ["lexical", "lexical", "semantic", "semantic"]
+    assert not L.empty_legs().degraded
+
+
+def test_leg_summary():
+    ran = dict(attempted=True, calls_run=1)
+    assert L.summarise_legs(leg(**ran, candidates=2), leg(**ran, candidates=1)).warning is None
+    assert not L.summarise_legs(leg(**ran), leg(**ran)).degraded  # both empty is healthy
+    assert "semantic-only" in L.summarise_legs(leg(**ran), leg(**ran, candidates=1)).warning
+    assert "lexical-only" in L.summarise_legs(leg(**ran, candidates=1), leg(**ran)).warning
+    assert "the score floor removed all 4" in L.summarise_legs(leg(**ran, floored=4), leg(**ran, candidates=1)).warning
+    blocked = L.summarise_legs(leg(**ran, candidates=1), leg(attempted=True, blocked="late")).warning
+    assert blocked == "semantic leg blocked: late"
+    many = leg(attempted=True, calls_run=1, calls_failed=5, candidates=1, failures=[(f"s{i}", "e") for i in range(5)])
+    assert "5 lexical source call(s) failed: s0 (e), s1 (e), s2 (e) +2 more" in L.summarise_legs(many, leg()).warning
+
+
+def test_health_ring():
+    legs = L.summarise_legs(leg(attempted=True, calls_run=1), leg(attempted=True, calls_run=1, candidates=1))
+    for i in range(health.CAPACITY + 50):
+        assert health.observe_legs(legs, NOW + i) is legs
+    h = health.read_leg_health(DAY, NOW + 600)
+    assert (h.samples, h.degraded_rate, h.truncated, h.lexical_empty) == (512, 1.0, True, 512) and health.leg_health_observed_count() == 562
+    assert health.read_leg_health(1, NOW + DAY).degraded_rate is None and health.observe_legs(None) is None
+
+
+def test_health_of_a_stream_equals_that_of_the_table(spark, tmp_path):
+    rows = [(NOW + i * 60_000, i % 3 == 0, False, i % 5 == 0, False, False) for i in range(200)]
+    table = spark.createDataFrame(rows, "at_ms long, degraded boolean, lexical_errored boolean, semantic_errored boolean, lexical_empty boolean, semantic_empty boolean").withColumn("at", F.timestamp_millis("at_ms"))
+    table.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+    out = health.windowed_health(stream, "1 hour", "30 minutes")
+    q = out.writeStream.format("memory").queryName("leg_health_test").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(spark.table("leg_health_test").collect()) == sorted(health.windowed_health(table, "1 hour", "30 minutes").collect())
+    one = health.trailing_health(table, 10 * 60_000, NOW + 199 * 60_000).first()
+    assert one["samples"] == 11
+    assert health.trailing_health(table, 1, NOW - DAY).first()["degraded_rate"] is None
+
+
+def test_index_of_postings_gives_the_same_listing(spark, notes):
+    indexed = TableSource("notes", notes.table, notes.id, notes.text, owner=notes.owner, lexical_index=notes.build_index().cache())
+    plain = TableSource("notes", notes.table, notes.id, notes.text, owner=notes.owner)
+    request = Request(query="red fox", limit=5, filters=Filters(owners=("a",)))
+    assert ids(search.run_full_text_search(spark, [indexed], request)) == ids(search.run_full_text_search(spark, [plain], request))
