@@ -86,7 +86,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, block: int = 4 << 20) ->
     folder = B.scratch(spark)
     manifest = B.stored(write_flat(docs, tokenizer_path, folder, separator, width))
     counted = scan_flat(manifest.where("ordinal < 0").select("file", "size"), folder, separator, width, block)
-    return manifest.where("ordinal >= 0").join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # the planner takes the counts for as small as the list of files, and they aren't: no broadcast
+    return manifest.where("ordinal >= 0").join(counted.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
