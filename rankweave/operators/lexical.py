@@ -7,6 +7,8 @@ that hold all of the query's lexemes it has, 1 for spans of up to SPAN words and
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +17,45 @@ from ..functions.text import lexemes
 SPAN = 16
 #: Documents that the anchors of a coverage-graded match may have in all, where a request names no budget.
 DF_BUDGET = 2000
+#: Rows of a table that may be sent to every task.
+BROADCAST_ROWS = 20_000
 #: Scores are rounded so that the order of additions never splits a tie.
 DIGITS = 6
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """Lexemes of queries (query_id, text): query_id, lex, term (0-based) and n_terms."""
+@dataclass(frozen=True)
+class Terms:
+    """Lexemes of a batch of queries: query_id, lex, term (0-based) and n_terms.
+
+    queries is their number if the lexemes were counted and are few enough to go to every task, else None.
+    """
+
+    table: DataFrame
+    queries: int | None
+
+    def bounded(self, hits: DataFrame, cap: int) -> DataFrame:
+        """A table of at most cap rows a query, marked for broadcast if that is few rows."""
+        return F.broadcast(hits) if self.queries is not None and self.queries * cap <= BROADCAST_ROWS else hits
+
+
+def query_terms(queries: DataFrame | Terms) -> Terms:
+    """Lexemes of queries (query_id, text).  A batch of up to BROADCAST_ROWS lexemes is sent to the tasks, so that
+    documents are matched where they are read; a larger one is joined by lexeme."""
+    if isinstance(queries, Terms):
+        return queries
     terms = F.array_distinct(lexemes(F.col("text")))
-    return queries.select("query_id", F.posexplode(terms).alias("term", "lex"), F.size(terms).alias("n_terms"))
+    table = queries.select("query_id", F.posexplode(terms).alias("term", "lex"), F.size(terms).alias("n_terms"))
+    rows = table.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return Terms(table, None)
+    spark = queries.sparkSession
+    kind = "query_id long, term int, lex string, n_terms int"
+    if rows and len(rows) <= 256:  # as literals, which need no job of their own
+        literal = F.array(*(F.struct(F.lit(r[0]).cast("long").alias("query_id"), F.lit(r[1]).alias("term"), F.lit(r[2]).alias("lex"), F.lit(r[3]).alias("n_terms")) for r in rows))
+        small = spark.range(1).select(F.inline(literal))
+    else:
+        small = spark.createDataFrame([tuple(r) for r in rows], kind)
+    return Terms(F.broadcast(small), len({r[0] for r in rows}))
 
 
 def postings(rows: DataFrame) -> DataFrame:
@@ -46,12 +79,12 @@ def cover_density(hits: Column, coverage: Column, n_terms: Column) -> Column:
     return F.aggregate(hits, start, step, lambda acc: F.round(acc["score"], DIGITS))
 
 
-def matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
+def matches(postings: DataFrame, terms: Terms) -> DataFrame:
     """query_id, source_id, n_terms, terms (the query's lexemes that occur), coverage (how many) and score.
 
     Only postings of query lexemes are shuffled, by query and document.
     """
-    found = postings.join(terms, "lex").groupBy("query_id", "source_id", "n_terms").agg(F.array_sort(F.collect_list(F.struct("word", "term", "lex"))).alias("hits"))
+    found = postings.join(terms.table, "lex").groupBy("query_id", "source_id", "n_terms").agg(F.array_sort(F.collect_list(F.struct("word", "term", "lex"))).alias("hits"))
     found = found.withColumn("terms", F.array_distinct(F.transform("hits", lambda x: x["lex"]))).withColumn("coverage", F.size("terms"))
     return found.select("query_id", "source_id", "n_terms", "terms", "coverage", cover_density(F.col("hits"), F.col("coverage"), F.col("n_terms")).alias("score"))
 
@@ -84,13 +117,14 @@ def match_graded(found: DataFrame, cap: int, budget: int | None = None) -> DataF
     return ranked(admitted, [F.desc("coverage"), F.desc("score"), F.asc("source_id")], cap)
 
 
-def cascade(first: DataFrame, second: DataFrame, cap: int) -> DataFrame:
+def cascade(first: DataFrame, second: DataFrame, cap: int, terms: Terms | None = None) -> DataFrame:
     """Appends to each query's thin first listing the rows of the second that it lacks, up to cap rows in all.
 
     The first listing's rows keep their places.  Adds appended (boolean).
     """
-    n = first.groupBy("query_id").agg(F.count("*").alias("n1"))
-    ids = first.select("query_id", "source_id")
+    small = terms.bounded if terms is not None else lambda df, _: df
+    n = small(first.groupBy("query_id").agg(F.count("*").alias("n1")), 1)
+    ids = small(first.select("query_id", "source_id"), cap)
     rest = second.join(ids, ["query_id", "source_id"], "left_anti").join(n, "query_id", "left").withColumn("n1", F.coalesce("n1", F.lit(0))).where(F.col("n1") < cap)
     rest = rest.withColumn("pos", (F.col("n1") + F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).cast("int")).where(F.col("pos") <= cap)
     return first.withColumn("appended", F.lit(False)).unionByName(rest.drop("n1").withColumn("appended", F.lit(True)))

@@ -40,7 +40,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> TableSource:
-    times = read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), millis(F.col("ts")).alias("ts_ms"))
+    # one row an id: a plan that doesn't look at the time then leaves the join out
+    times = read(spark, sf_dir, "events").groupBy(F.col("event_id").alias("doc_id")).agg(millis(F.max("ts")).alias("ts_ms"))
     table = read(spark, sf_dir, "documents").join(times, "doc_id", "left")
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("source_id"), F.col("embedding").cast("array<double>").alias("v"))
     c = F.col

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_lexemes
-from ..operators import floors, fusion, recency, rollup
+from ..operators import floors, fusion, lexical, recency, rollup
 from ..schema import EMBEDDINGS, FRESH, LEXICAL, Recency, Request
 from ..sources.tables import TableSource
 from ..streaming.health import observe_legs
@@ -52,7 +52,7 @@ class Pool:
 
 
 def single(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame([(0, text)], "query_id long, text string")
+    return spark.range(1).select(F.col("id").alias("query_id"), F.lit(text).alias("text"))
 
 
 def _say(request: Request, message: str) -> None:
@@ -79,18 +79,19 @@ def _check(request: Request) -> None:
 
 def gather(spark: SparkSession, sources: list[TableSource], request: Request, queries: DataFrame, cap: int, mode: str, min_score: dict[str, float], rec: Recency | None, now_ms: int, vectors=None) -> Pool:
     """Listings of all legs.  vectors is a function that waits for the query vectors, or None."""
-    pool, n = Pool(), len(sources)
+    pool, n, terms = Pool(), len(sources), None
     widen = request.lexical_cascade and request.lexical_mode is None
     params = request.params(cap)
     since = recency.fresh_since(rec, mode, request.filters.since, now_ms)
     if mode != "embeddings":
         pool.lexical.attempted = True
+        terms = lexical.query_terms(queries)
         for i, s in enumerate(sources):
             _check(request)
             main = None
             floor = floors.resolve_floor(min_score, LEXICAL)
             try:
-                main = _held(spark, s.lexical(params, queries, widen, LEXICAL, 2 * i), request.materialize_legs)
+                main = _held(spark, s.lexical(params, terms, widen, LEXICAL, 2 * i), request.materialize_legs)
                 pool.lexical.calls_run += 1
                 pool.raw.append(("lexical", LEXICAL, s.name, floor, main))
                 main = floors.apply_floor(main, floor).drop("appended")
@@ -103,7 +104,7 @@ def gather(spark: SparkSession, sources: list[TableSource], request: Request, qu
             floor = floors.resolve_floor(min_score, FRESH)
             try:
                 fresh_params = replace(params, filters=replace(params.filters, since=since))
-                fresh = _held(spark, s.lexical(fresh_params, queries, False, FRESH, 2 * i + 1), request.materialize_legs)
+                fresh = _held(spark, s.lexical(fresh_params, terms, False, FRESH, 2 * i + 1), request.materialize_legs)
                 pool.raw.append(("lexical", FRESH, s.name, floor, fresh))
                 pool.listings.append(recency.fresh_rows(floors.apply_floor(fresh, floor).drop("appended"), main, recency.fresh_seats(request.limit)))
             except Exception as e:
@@ -164,7 +165,7 @@ def highlighted(page: DataFrame, sources: list[TableSource], words: list[str], r
             _say(request, f"highlight {s.name} failed: {e}")
     if not parts:
         return page.withColumn("highlight", F.col("excerpt"))
-    made = reduce(DataFrame.unionByName, parts)
+    made = F.broadcast(reduce(DataFrame.unionByName, parts))  # rows of the page
     return page.join(made, ["source", "source_id"], "left").withColumn("highlight", F.coalesce("highlight", "excerpt"))
 
 

@@ -85,18 +85,19 @@ class TableSource:
         ids = self.filtered(p).select(self.id.cast("string").alias("source_id"))
         return self.lexical_index.join(ids, "source_id", "left_semi")
 
-    def matches(self, p: Params, queries: DataFrame) -> DataFrame:
+    def matches(self, p: Params, queries: DataFrame | lexical.Terms) -> DataFrame:
         return lexical.matches(self._postings(p), lexical.query_terms(queries))
 
-    def lexical(self, p: Params, queries: DataFrame, cascade: bool = False, ranker: str = LEXICAL, input_ord: int = 0) -> DataFrame:
+    def lexical(self, p: Params, queries: DataFrame | lexical.Terms, cascade: bool = False, ranker: str = LEXICAL, input_ord: int = 0) -> DataFrame:
         """A term listing of at most p.limit rows of each query; cascade widens thin ones."""
-        found = self.matches(p, queries)
+        terms = lexical.query_terms(queries)
+        found = self.matches(p, terms)
         if p.lexical_mode == "coverage-graded":
             hits = lexical.match_graded(found, p.limit, p.anchor_df_budget).withColumn("appended", F.lit(False))
         else:
             hits = lexical.match_all(found, p.limit)
-            hits = lexical.cascade(hits, lexical.match_graded(found, p.limit, p.anchor_df_budget), p.limit) if cascade else hits.withColumn("appended", F.lit(False))
-        return self._listing(hits.select("query_id", "source_id", "score", "pos", "appended"), p, ranker, input_ord)
+            hits = lexical.cascade(hits, lexical.match_graded(found, p.limit, p.anchor_df_budget), p.limit, terms) if cascade else hits.withColumn("appended", F.lit(False))
+        return self._listing(terms.bounded(hits.select("query_id", "source_id", "score", "pos", "appended"), p.limit), p, ranker, input_ord)
 
     def embedding(self, p: Params, queries: list[tuple[int, list[float]]], input_ord: int = 0) -> DataFrame:
         """The p.limit most similar rows of each query vector."""
@@ -104,14 +105,18 @@ class TableSource:
             raise LookupError(f"{self.name} has no vectors")
         ids = self.filtered(p).select(self.id.cast("string").alias("source_id"))
         hits = vector.nearest(self.vectors.join(ids, "source_id", "left_semi"), queries, p.limit)
-        return self._listing(hits.withColumn("appended", F.lit(False)), p, EMBEDDINGS, input_ord)
+        few = len(queries) * p.limit <= lexical.BROADCAST_ROWS
+        hits = hits.withColumn("appended", F.lit(False))
+        return self._listing(F.broadcast(hits) if few else hits, p, EMBEDDINGS, input_ord)
 
     def _listing(self, hits: DataFrame, p: Params, ranker: str, input_ord: int) -> DataFrame:
+        """Hits with the table's columns.  Hits that are few by construction are marked for broadcast: the table is then
+        read once and not shuffled."""
         out = hits.join(self.rows(p).select(*ROW), "source_id")
         constant = {"source": F.lit(self.name), "key": F.concat(F.lit(f"{self.name}:"), F.col("source_id")), "ranker": F.lit(ranker), "input_ord": F.lit(input_ord)}
         return out.withColumns(constant).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in LISTING), "appended")
 
     def highlights(self, ids: DataFrame, words: list[str]) -> DataFrame:
-        """source_id and highlight for the ids of a page (source_id), in one pass."""
-        page = self.table.select(self.id.cast("string").alias("source_id"), self.text.alias("text")).join(ids.select("source_id").distinct(), "source_id", "left_semi")
+        """source_id and highlight for the ids of a page (source_id; a page is small), in one pass over the table."""
+        page = self.table.select(self.id.cast("string").alias("source_id"), self.text.alias("text")).join(F.broadcast(ids.select("source_id")), "source_id", "left_semi")
         return page.select("source_id", headline(F.col("text"), words).alias("highlight"))
