@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import logging
 import time
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
@@ -206,9 +207,30 @@ def fulltext_ranking(spark: SparkSession, sources: list[TableSource], request: R
     return ranking.drop("final", "ranker", "input_ord"), pool, resolved.applied
 
 
+@contextmanager
+def _tagged(spark: SparkSession, request: Request):
+    """Spark jobs of a search carry its signal's tag, so that abort can interrupt them; an interrupted job is an abort."""
+    tag = request.signal.tag if request.signal is not None else None
+    _check(request)
+    if tag:
+        spark.addTag(tag)
+    try:
+        yield
+    except Exception:
+        _check(request)
+        raise
+    finally:
+        if tag:
+            spark.removeTag(tag)
+
+
 def run_full_text_search(spark: SparkSession, sources: list[TableSource], request: Request) -> SearchResult:
     """Term search over all sources, ranked by native score."""
-    _check(request)
+    with _tagged(spark, request):
+        return _full_text(spark, sources, request)
+
+
+def _full_text(spark: SparkSession, sources: list[TableSource], request: Request) -> SearchResult:
     ranking, pool, applied = fulltext_ranking(spark, sources, request, single(spark, request.query))
     ranking = ranking.cache()  # at most limit rows a source
     total = ranking.count()
@@ -219,7 +241,11 @@ def run_full_text_search(spark: SparkSession, sources: list[TableSource], reques
 
 def run_hybrid_search(spark: SparkSession, sources: list[TableSource], request: Request) -> SearchResult:
     """Term and vector search fused by reciprocal rank, or vector search alone in mode 'embeddings'."""
-    _check(request)
+    with _tagged(spark, request):
+        return _hybrid(spark, sources, request)
+
+
+def _hybrid(spark: SparkSession, sources: list[TableSource], request: Request) -> SearchResult:
     resolved = resolve_search_defaults(request, request.mode)
     rec = resolved.recency
     now_ms = rec.now_ms if rec is not None and rec.now_ms is not None else int(time.time() * 1000)
