@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import blocks, decontam, langid, packing, repeats, simhash
+from rankweave.llm import blocks, decontam, langid, minhash, packing, repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL can express neither the classifier nor the tokenizer.
@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of near-duplicates."""
-    groups = simhash.near_duplicates(docs, shingle=5)
+    """Keeps the document with the least doc_id of each group that five-word-shingle similarities of 0.8 or more link."""
+    groups = minhash.near_duplicates(docs)
     kept = groups.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(COLUMNS)
 

@@ -1,0 +1,129 @@
+"""Near-duplicates by shingle similarity: minhash bands propose pairs, the exact Jaccard similarity decides.
+
+A text is the set of its word shingles; texts with equal sets are one node.  A node has BANDS keys, each made of ROWS
+minhashes.  Two sets of similarity s share no key with a chance of (1 - s**ROWS)**BANDS: 3e-6 at 0.8, 7e-9 at 0.85.
+First each node of a key meets the first and the previous ones in an order by the node's next four keys, which brings
+like nodes together: these pairs grow with the nodes and link most of a large group.  Then nodes of larger keys that are
+still in different components meet, all of them, so every pair with a common key is either compared or linked by others.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import blocks as B
+from .components import components
+from .simhash import shingle_hashes
+
+BANDS, ROWS = 32, 5
+#: Nodes of a key that each other one meets: the first ones, and those just before it.  Keys of up to FIRST + BEFORE + 1
+#: nodes have all their pairs.
+FIRST, BEFORE = 3, 3
+_FACTORS = np.random.default_rng(8).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of a set of 64-bit hashes, which depends on the band."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for s in range(0, len(hashes), 512):
+        np.minimum(least, (hashes[s : s + 512, None] * _FACTORS).min(0), out=least)
+    at = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(B.BASES[0])
+    return B.mixed((B.mixed(least).reshape(BANDS, ROWS) * _FACTORS[:ROWS]).sum(1, dtype=np.uint64) + at)
+
+
+def following(keys: np.ndarray) -> np.ndarray:
+    """For each band 16 bits of each of the next four bands' keys: what orders the nodes of a key."""
+    return sum((np.roll(keys, -i) & np.uint64(0xFFFF)) << np.uint64(64 - 16 * i) for i in range(1, 5))
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, node (a hash of the set), its size n, its keys with their order, and its set (sorted hashes) of each row."""
+    B.small_batches(docs.sparkSession, 128)
+
+    def run(batches):
+        for whole in batches:
+            for b in B.pieces(whole, "text"):
+                data, off = B.buffer(b.column("text"))
+                raw, at = data.tobytes(), off.tolist()
+                sets = [np.unique(shingle_hashes(raw[a:z], shingle)) for a, z in zip(at[:-1], at[1:], strict=True)]
+                body = [s.tobytes() for s in sets]
+                node = np.array([xxhash.xxh64_intdigest(x) for x in body], np.uint64).view(np.int64)
+                keys = [band_keys(s) for s in sets]
+                longs = lambda x: pa.array([k.view(np.int64) for k in x], pa.list_(pa.int64()))
+                yield pa.record_batch({"doc_id": b.column("doc_id").cast(pa.int64()), "node": pa.array(node, pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "keys": longs(keys), "after": longs(map(following, keys)), "body": pa.array(body, pa.binary())})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, keys array<long>, after array<long>, body binary")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v), u < v, of nodes (node, keys, after) that share a key and meet there."""
+    keyed = nodes.select("node", F.explode(F.arrays_zip("keys", "after")).alias("k")).select("node", F.col("k.keys").alias("key"), F.col("k.after").alias("after"))
+    order = Window.partitionBy("key").orderBy("after", "node")
+    met = [F.nth_value("node", i).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for i in range(1, FIRST + 1)]
+    met += [F.lag("node", i).over(order) for i in range(1, BEFORE + 1)]
+    pairs = keyed.select("node", F.array(*met).alias("met")).select("node", F.explode("met").alias("other")).where("other != node")
+    return pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+
+
+def unlinked(nodes: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Distinct pairs (u, v), u < v, of nodes (node, keys, n, root) with a common key, different roots and sizes that allow a link.
+
+    In a key the nodes outside its most frequent root meet all others; keys of which candidates() has all pairs are left out.
+    """
+    keyed = nodes.select("node", "root", "n", F.explode("keys").alias("key"))
+    mixed = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("size") > FIRST + BEFORE + 1) & (F.col("low") != F.col("high")))
+    part = B.stored(keyed.join(mixed.select("key"), "key", "left_semi"))
+    most = part.groupBy("key").agg(F.mode("root").alias("most"))
+    few, all_ = part.join(most, "key").where("root != most").alias("a"), part.alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (least[1] * F.least("a.n", "b.n") >= least[0] * F.greatest("a.n", "b.n"))
+    return few.join(all_, on).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs whose sets (node, body) have a Jaccard similarity of least[0] / least[1] or more."""
+    B.small_batches(sets.sparkSession, 16)  # a long text's set has as many bytes as the text
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("body").alias(f"{c}_set"))
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("u_set"), b.column("v_set"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                near = least[1] * min(len(x), len(y)) >= least[0] * max(len(x), len(y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if near else 0
+                keep.append(near and least[1] * both >= least[0] * (len(x) + len(y) - both))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
+    """doc_id and component_id (the least doc_id that links of a similarity of `least` or more reach) of each row.
+
+    docs needs doc_id and text; other columns are ignored.  Words are lower-cased in A-Z only; a text shorter than a
+    shingle is one shingle; texts without words, and null, are one node.  A row without doc_id belongs to its component,
+    which it never names; a component of such rows only has a null id.  Repeated rows each give a row.
+    """
+    prints = B.stored(_sets(docs, shingle))
+    nodes = B.stored(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("after").alias("after")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = B.stored(pairs)
+        met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        sets = B.stored(prints.select("node", "body").join(met, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")))
+        return similar(pairs, sets, least)
+
+    def rooted() -> DataFrame:
+        return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    roots = components(linked(candidates(nodes)))
+    more = B.stored(linked(unlinked(rooted(), least)))
+    if not more.isEmpty():
+        roots = components(more.union(roots.select("node", "root")))
+    found = rooted().select("node", "first", "root")
+    component = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.select("doc_id", "node").join(found.join(component, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

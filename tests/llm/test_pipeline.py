@@ -1,10 +1,12 @@
 """The pipeline's stages one by one on planted rows, and the registry."""
 
+import random
+
 import corpus_pipeline as C
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from rankweave.llm import blocks
+from rankweave.llm import blocks, minhash
 
 
 def test_stages_keep_clean_documents_and_take_effect(spark, tmp_path):
@@ -35,3 +37,25 @@ def test_every_operator_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names) and len(C.STAGES) == 5
+
+
+def test_edited_copies_go_by_shingle_similarity(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    edited = lambda n: [f"e{rng.randrange(10**6)}" if i in at else w for at in [set(rng.sample(range(160), n))] for i, w in enumerate(base)]
+    texts = [" ".join(edited(n)) for n in [0, *[1, 2, 3, 4] * 60]]
+    texts += [" ".join(f"v{rng.randrange(10**6)}" for _ in range(120)) for _ in range(40)] + ["", None, "few words", "Few  words", "few word"]
+    shingles = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+    near = [[j for j in range(len(texts)) if x == shingles[j] or 5 * len(x & shingles[j]) >= 4 * len(x | shingles[j]) > 0] for x in shingles]
+    group = list(range(len(texts)))
+    while (after := [min(group[j] for j in n) for n in near]) != group:
+        group = after
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == dict(enumerate(group))
+    assert {r["doc_id"] for r in C.near_dedup(spark, docs, "").collect()} == set(group)
+
+
+def test_near_duplicates_of_awkward_rows(rows, docs, none):
+    got = [(str(r["doc_id"]), r["component_id"]) for r in minhash.near_duplicates(docs).collect()]
+    assert len(got) == len(rows) and {c for d, c in got if d in ("1", "7", "-5")} == {-5} and {c for d, c in got if d == "9"} == {8}
+    assert minhash.near_duplicates(none).count() == 0
