@@ -1,7 +1,7 @@
 """Cross-entropy difference: two bigram models over one vocabulary score each document.
 
 The target model counts the target documents, the background model all documents; both have the same order, smoothing
-and vocabulary, which is the `vocabulary` most frequent words and one unknown word.  A document's score is the mean,
+and vocabulary: all words of the documents, and one unknown word.  A document's score is the mean,
 over its words, of the target model's loss less the background model's: the lower, the more it is like the target.
 
 Counting and look-up are one exchange: a block sends each of its bigrams and words once with its counts, and gets the
@@ -29,8 +29,8 @@ def _words(column) -> tuple[np.ndarray, np.ndarray]:
     return B.word_symbols(data, start, end), np.searchsorted(start, off)
 
 
-def frequent_words(docs: DataFrame, vocabulary: int, most: int = 1 << 20) -> np.ndarray:
-    """Sorted values of the most frequent words of all texts; ties go to the smaller value.
+def word_counts(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Value (w) and count (n) of each word of all texts.
 
     A task adds up its words in arrays of at most about twice `most` entries before they are sent.
     """
@@ -62,84 +62,166 @@ def frequent_words(docs: DataFrame, vocabulary: int, most: int = 1 << 20) -> np.
         if len(keys):
             yield rows()
 
-    counted = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "w").limit(vocabulary).collect()  # bounded by the vocabulary
+    return docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(docs: DataFrame, vocabulary: int) -> np.ndarray:
+    """Sorted values of the most frequent words of all texts; ties go to the smaller value."""
+    top = word_counts(docs).orderBy(F.desc("n"), "w").limit(vocabulary).collect()  # bounded by the vocabulary
     return np.sort(np.array([r["w"] for r in top], np.int64).view(np.uint64))
 
 
+#: Odd multipliers of the keys of bigrams and of words, and values that no word has but by chance.
+_PAIR, _WORD = (np.uint64(x) for x in B.BASES)
+_START, _UNKNOWN, _TOTAL = (np.uint64(x) for x in (0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0x8EBC6AF09C88C6E3))
+
+
 class Keys:
-    """Ids of words: 0 unknown, 1.. the vocabulary; a bigram's key, a word's, and that of the number of words."""
+    """64-bit keys of bigrams, words and contexts from the words' values; words outside `words`, if given, are one unknown word."""
 
-    def __init__(self, words: np.ndarray):
-        self.words, self.size = words, len(words) + 1
+    def __init__(self, size: int, words: np.ndarray | None = None):
+        self.size, self.words = size, words
 
     def ids(self, values: np.ndarray) -> np.ndarray:
+        if self.words is None:
+            return values
         if not len(self.words):
-            return np.zeros(len(values), np.int64)
+            return np.full(len(values), _UNKNOWN)
         at = np.minimum(np.searchsorted(self.words, values), len(self.words) - 1)
-        return np.where(self.words[at] == values, at + 1, 0)
+        return np.where(self.words[at] == values, values, _UNKNOWN)
 
-    def start(self) -> int:
-        return self.size  # stands before a text's first word
+    def asked(self, column) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """For each word the keys of its bigram, itself, its context (how often the word before stands before another:
+        all words do but the last of a text) and the number of words; and the bounds of the texts."""
+        values, bounds = _words(column)
+        ids = self.ids(values)
+        before = np.r_[_START, ids[:-1]][: len(ids)]
+        first = bounds[:-1]
+        before[first[first < len(ids)]] = _START
+        pair = B.mixed(B.mixed(before * _PAIR) + ids)
+        return {"pair": pair, "word": B.mixed(ids * _WORD), "context": B.mixed(before * _WORD), "total": np.full(len(ids), _TOTAL)}, bounds
 
-    def total(self) -> int:
-        return (self.size + 2) * self.size
 
-    def word(self, ids: np.ndarray) -> np.ndarray:
-        return (self.size + 1) * self.size + ids
+def _short(values: np.ndarray, kind: type) -> bytes:
+    """Counts as small unsigned integers; the greatest of these stands for a count that follows, with its place."""
+    top = np.iinfo(kind).max
+    large = np.flatnonzero(values >= top)
+    return B.pack(np.minimum(values, top).astype(kind), large.astype(np.uint32), values[large].astype(np.int64))
 
-    def context(self, before: np.ndarray) -> np.ndarray:
-        """Key of how often a word stands before another: all words do but the last of a text."""
-        return self.total() + 1 + before
 
-    def sequence(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, ids before them, and the bounds of the texts."""
-        values, bounds = _words(column)
-        ids = self.ids(values)
-        before = np.r_[self.start(), ids[:-1]][: len(ids)]
-        first = bounds[:-1]
-        before[first[first < len(ids)]] = self.start()
-        return ids, before, bounds
+def _full(body: bytes, kind: type) -> tuple[np.ndarray, bytes]:
+    """The counts that a body begins with, and the rest of it."""
+    low, place, large = B.unpack(body, kind, np.uint32, np.int64)
+    out = low.astype(np.int64)
+    out[place] = large
+    return out, body[24 + low.nbytes + place.nbytes + large.nbytes :]
+
+
+def _zipped(body: bytes) -> bytes:
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unzipped(body: bytes) -> bytes:
+    return pa.decompress(body[8:], int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _coded(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as 48 bits of the distance from the one before; distances that need more follow in full."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    large = np.flatnonzero(step >> np.uint64(48))
+    low = step.view(np.uint8).reshape(-1, 8)[:, :6]  # little-endian
+    return B.pack(low.ravel(), large.astype(np.uint32), step[large])
+
+
+def _decoded(body: bytes) -> tuple[np.ndarray, bytes]:
+    low, place, large = B.unpack(body, np.uint8, np.uint32, np.uint64)
+    step = np.zeros((len(low) // 6, 8), np.uint8)
+    step[:, :6] = low.reshape(-1, 6)
+    step = step.view(np.uint64).ravel()
+    step[place] = large
+    return np.cumsum(step, dtype=np.uint64), body[24 + low.nbytes + place.nbytes + large.nbytes :]
+
+
+class Local:
+    """A block's sorted keys in two runs, bigrams and words: each with counts, a word also with those as a context."""
+
+    def __init__(self, keys: Keys, column):
+        asked, self.bounds = keys.asked(column)
+        self.pairs, self.pair = np.unique(asked["pair"], return_inverse=True)
+        n = len(self.pair)
+        self.words, back = np.unique(np.concatenate([asked["word"], asked["context"], asked["total"][:1]]), return_inverse=True)
+        self.word, self.context, self.total = back[:n], back[n : 2 * n], np.repeat(back[2 * n :], n if n else 0)
+
+    def counts(self, weight: np.ndarray | None = None) -> list[np.ndarray]:
+        """Of bigrams, of words, and of words as contexts."""
+        count = lambda at, size: np.bincount(at, weight, size).astype(np.int64)
+        words = count(self.word, len(self.words)) + count(self.total, len(self.words))
+        return [count(self.pair, len(self.pairs)), words, count(self.context, len(self.words))]
 
-    def scattered(self, keys: np.ndarray) -> np.ndarray:
-        """Keys as sorted 64-bit hashes have them, so that buckets fill alike: an odd multiple is one to one."""
-        return keys.astype(np.uint64) * np.uint64(B.BASES[0])
+    def cuts(self, buckets: int) -> list[np.ndarray]:
+        """Bounds of the buckets in both runs."""
+        of = lambda k: ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        return [np.searchsorted(of(k), np.arange(buckets + 1, dtype=np.uint64)) for k in (self.pairs, self.words)]
 
 
-def _counts(keys: Keys, t: pa.Table, target: np.ndarray):
-    """Sorted scattered keys of a block with background and target counts."""
-    ids, before, bounds = keys.sequence(t["text"])
-    every = np.concatenate([before * keys.size + ids, keys.word(ids), keys.context(before), np.full(len(ids), keys.total())])
-    wanted = np.tile(np.repeat(target, np.diff(bounds)), 4)
-    unique, back, n = np.unique(keys.scattered(every), return_inverse=True, return_counts=True)
-    return unique, n, np.bincount(back, wanted, len(unique)).astype(np.int64)
+def _requests(g: int, buckets: int, keys: Keys, t: pa.Table, target: np.ndarray) -> pa.Table:
+    """One row per bucket with a block's keys and their background and target counts."""
+    local = Local(keys, t["text"])
+    every, some = local.counts(), local.counts(np.repeat(target, np.diff(local.bounds)))
+    pairs, words = local.cuts(buckets)
+    dest, bodies = [], []
+    for b in np.flatnonzero((np.diff(pairs) > 0) | (np.diff(words) > 0)).tolist():
+        cut = [slice(c[b], c[b + 1]) for c in (pairs, words, words)]
+        dest.append(b)
+        counts = b"".join(_short(n[c], np.uint8) for counts in (every, some) for n, c in zip(counts, cut, strict=True))
+        bodies.append(_coded(local.pairs[cut[0]]) + _coded(local.words[cut[1]]) + _zipped(counts))
+    return pa.table({"dest": pa.array(dest, pa.int64()), "src": pa.array([g] * len(bodies), pa.int64()), "kind": pa.array([B.ASK] * len(bodies), pa.int32()), "body": pa.array(bodies, pa.binary())})
 
 
 def _totals(t: pa.Table) -> pa.Table:
-    """Sums of a bucket's counts, sent back to every block that asked."""
-    src, body = t["src"].to_pylist(), t["body"].to_pylist()
-    kind = t["kind"].to_pylist()
-    asks = [i for i, k in enumerate(kind) if k == B.ASK]
-    replies = dict(enumerate(body))
-    if asks:
-        parts = [B.unpack(body[i], "u8", "u4", "u4") for i in asks]
-        unique, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        sums = [np.bincount(back, np.concatenate([p[c] for p in parts]), len(unique))[back] for c in (1, 2)]
-        at = np.r_[0, np.cumsum([len(p[0]) for p in parts])].tolist()
-        for i, a, z in zip(asks, at[:-1], at[1:], strict=True):
-            replies[i] = B.narrow(sums[0][a:z].astype(np.int64)) + B.narrow(sums[1][a:z].astype(np.int64)) + (z - a).to_bytes(4, "little")
-    return pa.table({"g": pa.array(src, pa.int64()), "dest": t["dest"].cast(pa.int64()), "kind": pa.array(kind, pa.int32()), "body": pa.array([replies[i] for i in range(len(src))], pa.binary())})
-
-
-def _received(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    rows = sorted((d, b) for k, d, b in zip(t["kind"].to_pylist(), t["dest"].to_pylist(), t["body"].to_pylist(), strict=True) if k == B.ASK)
-    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for _, b in rows:
-        n = int.from_bytes(b[-4:], "little")
-        cut = 9 + 4 * n if b[0] else 1 + 8 * n
-        first.append(B.widened(b[:cut]))
-        second.append(B.widened(b[cut:-4]))
-    return np.concatenate(first), np.concatenate(second)
+    """Sums of a bucket's counts, sent back to every block that asked: background sums only where they aren't the block's own count."""
+    runs, counts = ([], []), tuple([] for _ in range(6))
+    for body in t["body"].to_pylist():
+        for run in runs:
+            k, body = _decoded(body)
+            run.append(k)
+        body = _unzipped(body)
+        for c in counts:
+            n, body = _full(body, np.uint8)
+            c.append(n)
+    replies = [b""] * len(t)
+    solved = []
+    for run in runs:
+        unique, back = np.unique(np.concatenate(run), return_inverse=True)
+        solved.append((len(unique), back, np.r_[0, np.cumsum([len(k) for k in run])].tolist()))
+    for c, parts in enumerate(counts):
+        size, back, at = solved[min(c % 3, 1)]
+        sums = np.bincount(back, np.concatenate(parts), size).astype(np.int64)
+        for i, (own, a, z) in enumerate(zip(parts, at[:-1], at[1:], strict=True)):
+            total = sums[back[a:z]]
+            if c < 3:
+                other = total != own
+                bits = np.packbits(other)
+                replies[i] += B.pack(bits) + _short(total[other], np.uint16)
+            else:
+                replies[i] += _short(total, np.uint8)
+    return pa.table({"g": t["src"].cast(pa.int64()), "dest": t["dest"].cast(pa.int64()), "kind": t["kind"].cast(pa.int32()), "body": pa.array(map(_zipped, replies), pa.binary())})
+
+
+def _received(local: Local, buckets: int, t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Background and target totals of a block's keys, as Local.counts() has them."""
+    every = local.counts()
+    some = [np.zeros_like(n) for n in every]
+    pairs, words = local.cuts(buckets)
+    for b, body in zip(t["dest"].to_pylist(), t["body"].to_pylist(), strict=True):
+        body, cut = _unzipped(body), [slice(c[b], c[b + 1]) for c in (pairs, words, words)]
+        for n, c in zip(every, cut, strict=True):
+            (bits,) = B.unpack(body, np.uint8)
+            values, body = _full(body[8 + len(bits) :], np.uint16)
+            n[c][np.unpackbits(bits, count=c.stop - c.start).astype(bool)] = values
+        for n, c in zip(some, cut, strict=True):
+            n[c], body = _full(body, np.uint8)
+    return every, some
 
 
 def losses(n: dict[str, np.ndarray], size: int, strength: float) -> np.ndarray:
@@ -148,16 +230,21 @@ def losses(n: dict[str, np.ndarray], size: int, strength: float) -> np.ndarray:
     return -np.log((n["pair"] + strength * alone) / (n["context"] + strength))
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int = 8192, strength: float = 100.0, block_bytes: int = 1 << 20) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, strength: float = 100.0, block_bytes: int = 1 << 20) -> DataFrame:
     """Scores documents (doc_id, text; other columns are ignored): doc_id, n_words, loss_target, loss_background, score.
 
     target_ids (doc_id) names the target documents.  Losses are means over the words, in nats.  Texts without words, and
     null, have null losses and score.  A row without doc_id is background and is scored.  Repeated rows count, and are
     scored, each.  Without target documents the target model is the uniform one that its smoothing leaves.
+    All words are counted; `vocabulary` makes all but that many of the most frequent ones a single unknown word.
     """
     spark = docs.sparkSession
     B.small_batches(spark)
-    keys = Keys(frequent_words(docs, vocabulary))
+    if vocabulary is None:
+        keys = Keys(word_counts(docs).count() + 1)
+    else:
+        words = frequent_words(docs, vocabulary)
+        keys = Keys(len(words) + 1, words)
     n = B.partitions(spark)
     blocks = max(n, -(-B.input_bytes(docs) // block_bytes))
     block = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(blocks))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).alias("g")
@@ -170,18 +257,14 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary:
         if not len(t):
             return pa.table({"dest": pa.array([], pa.int64()), "src": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
         mine = t["doc_id"].is_valid().to_numpy() & np.isin(t["doc_id"].fill_null(-1).to_numpy(), ids["doc_id"].to_numpy())
-        unique, every, some = _counts(keys, t, mine)
-        return B.requests(g, buckets, unique, [unique, every.astype(np.uint32), some.astype(np.uint32)], b"")
+        return _requests(g, buckets, keys, t, mine)
 
     def score(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, before, bounds = keys.sequence(t["text"])
-        asked = {"pair": before * keys.size + ids, "word": keys.word(ids), "context": keys.context(before), "total": np.full(len(ids), keys.total())}
-        asked = {k: keys.scattered(v) for k, v in asked.items()}
-        known = np.unique(np.concatenate(list(asked.values())))
+        local = Local(keys, t["text"])
+        bounds = local.bounds
         size, loss = np.diff(bounds), []
-        place = {k: np.searchsorted(known, v) for k, v in asked.items()}
-        for total in _received(replies):  # background, then target
-            each = losses({k: total[p].astype(np.float64) for k, p in place.items()}, keys.size, strength)
+        for pairs, words, contexts in _received(local, buckets, replies):  # background, then target
+            each = losses({"pair": pairs[local.pair], "word": words[local.word], "context": contexts[local.context], "total": words[local.total]}, keys.size, strength)
             sums = np.r_[0, np.cumsum(each)]
             loss.append((sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(size, 1))
         none = size == 0

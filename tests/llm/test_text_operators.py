@@ -218,3 +218,21 @@ def test_cross_entropy_difference(spark, rows, docs, none):
     assert len(empty) == len(rows) - len(want) and {r["score"] for r in empty} == {None}
     assert lm.cross_entropy_difference(none, target).count() == 0
     assert lm.cross_entropy_difference(docs, target.limit(0), k).count() == len(rows)
+
+
+def test_cross_entropy_difference_counts_rare_words(spark):
+    texts = [" ".join(f"often{i}" for i in range(9000))] * 2 + ["rare one rare two", "rare one rare two", "odd three odd four", "", None] + ["rare one"] * 300
+    target = spark.createDataFrame([(2,), (1,)], "doc_id long")
+    words = [(t or "").split() for t in texts]
+    vocabulary, models = {w for x in words for w in x}, []
+    for keep in ({1, 2}, set(range(len(texts)))):
+        seqs = [["<s>", *words[i]] for i in keep]
+        models.append((Counter(p for x in seqs for p in zip(x, x[1:])), Counter(w for x in seqs for w in x[1:]), Counter(w for x in seqs for w in x[:-1])))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["loss_target"], r["loss_background"]) for r in lm.cross_entropy_difference(docs, target, block_bytes=2000).collect()}
+    for i, w in enumerate(words):
+        want = (None, None)
+        if w:
+            want = tuple(-sum(math.log((p[a, b] + 100 * (n[b] + 1) / (n.total() + len(vocabulary) + 1)) / (c[a] + 100)) for a, b in zip(["<s>", *w], w)) / len(w) for p, n, c in models)
+        assert got[i] == pytest.approx(want, abs=1e-9)
+    assert got[2][0] - got[2][1] < got[4][0] - got[4][1]
