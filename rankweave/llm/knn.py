@@ -111,6 +111,11 @@ class Search:
         return pa.table({"query_id": pa.array(self.query_ids[row], pa.int64()), "vec_id": pa.array(self.found[row, col], pa.int64()), "score": pa.array(self.score[row, col], pa.int64())})
 
 
+def finite(column: str):
+    """That an array isn't null and has no null, NaN or infinity.  To be asked before F.floor, which makes longs of these."""
+    return F.col(column).isNotNull() & ~F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+
+
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     v = t["v"].combine_chunks()
     flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -127,8 +132,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, shard_rows: int = 8192, blo
     Queries go against shards in blocks: a cell is one block and one shard, and a second step keeps each query's best.
     """
     spark = vectors.sparkSession
-    sound = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    vectors = vectors.where(sound).select("vec_id", "v").distinct()
+    vectors = vectors.where(F.col("vec_id").isNotNull() & finite("v")).select("vec_id", "v").distinct()
     sizes = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.count_if(is_query).alias("queries"))
     most = sizes.orderBy(F.desc("rows"), F.desc("n")).first()
     out = "query_id long, rank int, vec_id long, score long"
@@ -156,5 +160,5 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, shard_rows: int = 8192, blo
 
 def op9_exact_top_k(spark, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    v = e.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double")).alias("v"))
+    v = e.where(finite("embedding")).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double")).alias("v"))
     return top_k(v, F.col("vec_id") % 20 == 0)

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,18 @@ def test_top_k_equals_brute_force(spark, n, k, shard, block):
             want[i] = [(p + 1, j, int(-s)) for p, (s, j) in enumerate(best)]
     assert {q: sorted(v) for q, v in got.items()} == want
     assert knn.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_vectors_that_are_not_finite_take_no_part(spark, tmp_path):
+    odd = [float("nan"), float("inf"), float("-inf"), None]
+    rows = [(i, [0.25 * (i % 5), 1.0 - 0.1 * i]) for i in range(0, 24)] + [(60 + 20 * i, [1.0, x]) for i, x in enumerate(odd)] + [(30 + i, [x, 1.0]) for i, x in enumerate(odd)] + [(50, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    floored = {i: [math.floor(float(np.float32(x)) * 64) for x in v] for i, v in rows[:24]}
+    got = {}
+    for r in knn.op9_exact_top_k(spark, str(tmp_path)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = {}
+    for q in (0, 20):
+        best = sorted((-sum(a * b for a, b in zip(floored[q], v)), j) for j, v in floored.items() if j != q)[:20]
+        want[q] = [(p + 1, j, -s) for p, (s, j) in enumerate(best)]
+    assert {q: sorted(v) for q, v in got.items()} == want
