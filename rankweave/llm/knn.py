@@ -154,7 +154,6 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, shard_rows: int = 8192, blo
 
     hits = queries.groupBy("block", "shard").cogroup(rows.groupBy("block", "shard")).applyInArrow(cell, HITS)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) if shards > 1 else hits
     return hits.select("query_id", best.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 

@@ -78,3 +78,16 @@ def test_vectors_that_are_not_finite_take_no_part(spark, tmp_path):
         best = sorted((-sum(a * b for a, b in zip(floored[q], v)), j) for j, v in floored.items() if j != q)[:20]
         want[q] = [(p + 1, j, -s) for p, (s, j) in enumerate(best)]
     assert {q: sorted(v) for q, v in got.items()} == want
+
+
+@pytest.mark.parametrize("shard", [30, 8192])
+def test_an_id_with_several_vectors_counts_once_for_each_at_every_size(spark, shard):
+    rows = [(i // 4 if i % 20 < 8 else 1000 + i, [float(i % 11 - 5), float(i % 7)]) for i in range(200)]
+    rows = sorted({(i, tuple(v)) for i, v in rows})
+    got, want = {}, {}
+    for r in knn.top_k(spark.createDataFrame([(i, list(v)) for i, v in rows], "vec_id long, v array<double>"), F.col("vec_id") % 20 == 0, 20, shard).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        best = sorted((-int(sum(a * b for a, b in zip(u, v))), j) for i, u in rows if i == q for j, v in rows if j != q)[:20]
+        want[q] = [(p + 1, j, -s) for p, (s, j) in enumerate(best)]
+    assert {q: sorted(v) for q, v in got.items()} == want
