@@ -3,7 +3,7 @@
 A shard's vectors are split at the median of the widest dimension down to leaves, and every node keeps the tight box
 around its vectors.  The greatest inner product that a box allows bounds what a node can hold: best-first traversal
 visits a query's leaves from the greatest bound down and stops at the first that cannot reach the query's kth score.
-That score is handed from shard to shard within a task.
+The kth score stays within a shard: each cell of a block of queries and a shard starts without one.
 """
 
 from __future__ import annotations
