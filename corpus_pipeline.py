@@ -39,9 +39,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which benchmark windows cover a twentieth of the words or more."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
-    return found.where("not contaminated").select(COLUMNS)
+    """Drops documents of which benchmark windows cover a twentieth of the words or more, and cuts the windows of others.
+
+    What a cut brings together is looked at again, until no window is left.
+    """
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = blocks.stored(decontam.decontaminate(docs, benchmark, keep=COLUMNS, masks=True).where("not contaminated"))
+    clean = found.where("hit is null").select(COLUMNS)
+    while not (hit := found.where("hit is not null").select(*COLUMNS, "hit")).isEmpty():
+        cut = decontam.without_hits(hit).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+        found = blocks.stored(decontam.decontaminate(blocks.stored(cut), benchmark, keep=COLUMNS, masks=True))
+        clean = clean.union(found.where("hit is null").select(COLUMNS))
+    return clean
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

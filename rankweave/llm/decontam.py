@@ -138,9 +138,11 @@ def _verdict(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, block_bytes: int = 16 << 20, keep: list[str] = []) -> DataFrame:  # noqa: B006
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, block_bytes: int = 16 << 20, keep: list[str] = [], masks: bool = False) -> DataFrame:  # noqa: B006
     """What of each document (doc_id, text) is in a benchmark (item_id, text): columns of RESULT.
 
+    masks adds the column `hit`, the hit words as packed bits, or null without any; without_hits() cuts them.
+
     Words are runs of ASCII letters and digits and of all characters above ASCII, lower-cased in A-Z.  Items shorter
     than a window are windows of their own; items without words or without an id match nothing.  Null texts have no
     words.  Each row gives a row, with the columns in keep; other columns are ignored.
@@ -154,12 +156,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    extra, schema = B.widened_schema(docs, RESULT, keep)
+    result = f"{RESULT}, hit binary" if masks else RESULT
+    extra, schema = B.widened_schema(docs, result, keep)
     if blocks == 1:
         docs = docs.select("doc_id", "text", *(c for c in extra if c != "text"))
-        return docs.mapInArrow(_whole(_index(benchmark, window, k), extra), schema)
+        return docs.mapInArrow(_whole(_index(benchmark, window, k), extra, masks), schema)
     parts = [docs.select("doc_id", "text", F.xxhash64("text").alias("__hash__")).mapInArrow(_part(_index(benchmark.where(block == i), window, k)), PART) for i in range(blocks)]
-    found = reduce(DataFrame.union, parts).groupBy("doc_id", "__hash__").applyInArrow(_joined(blocks), f"{RESULT}, __hash__ long")
+    found = reduce(DataFrame.union, parts).groupBy("doc_id", "__hash__").applyInArrow(_joined(blocks, masks), f"{result}, __hash__ long")
     if not extra:
         return found.drop("__hash__")
     found = found.dropDuplicates(["doc_id", "__hash__"]).withColumnRenamed("doc_id", "__found__")
@@ -186,12 +189,16 @@ def _table(ids, n_words, n_hit, items) -> dict:
     }
 
 
-def _whole(index: Index, extra: list[str]):
+def _whole(index: Index, extra: list[str], masks: bool):
     def run(batches):
         for whole in batches:
             for b in B.pieces(whole, "text", 2 << 20):
-                n_words, n_hit, items = _rows(*index.hits(b.column("text")))
-                yield pa.record_batch(_table(b.column("doc_id").cast(pa.int64()), n_words.tolist(), n_hit.tolist(), items) | {c: b.column(c) for c in extra})
+                bounds, hit, doc, item = index.hits(b.column("text"))
+                n_words, n_hit, items = _rows(bounds, hit, doc, item)
+                table = _table(b.column("doc_id").cast(pa.int64()), n_words.tolist(), n_hit.tolist(), items)
+                if masks:
+                    table["hit"] = pa.array([np.packbits(hit[a:z]).tobytes() if n else None for a, z, n in zip(bounds[:-1], bounds[1:], n_hit, strict=True)], pa.binary())
+                yield pa.record_batch(table | {c: b.column(c) for c in extra})
 
     return run
 
@@ -208,7 +215,7 @@ def _part(index: Index):
     return run
 
 
-def _joined(blocks: int):
+def _joined(blocks: int, masks: bool):
     def run(t: pa.Table) -> pa.Table:
         n = t["n_words"][0].as_py()
         hit = np.zeros(-(-n // 8), np.uint8)
@@ -216,10 +223,33 @@ def _joined(blocks: int):
             hit |= np.frombuffer(m, np.uint8)
         items, copies = sorted(set().union(*t["items"].to_pylist())), len(t) // blocks
         table = _table(t["doc_id"].slice(0, copies), [n] * copies, [int(np.unpackbits(hit).sum())] * copies, [items] * copies)
+        if masks:
+            table["hit"] = pa.array([hit.tobytes() if hit.any() else None] * copies, pa.binary())
         return pa.table(table | {"__hash__": t["__hash__"].slice(0, copies)})
 
     return run
 
 
+def without_hits(found: DataFrame) -> DataFrame:
+    """found (text, hit and other columns) with the hit words, and what follows each up to the next word, cut from text."""
+    B.small_batches(found.sparkSession)
+
+    def kept(text: str, mask: bytes) -> str:
+        data = np.frombuffer(text.encode(), np.uint8)
+        start, _ = B.spans(WORD[LOWER[data]], np.array([0, len(data)]))
+        cut = np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=len(start)))
+        change = np.zeros(len(data) + 1, np.int64)
+        np.add.at(change, start[cut], 1)
+        np.add.at(change, np.r_[start[1:], len(data)][cut], -1)
+        return data[np.cumsum(change[:-1]) == 0].tobytes().decode()
+
+    def run(batches):
+        for b in batches:
+            texts = [t if m is None else kept(t, m) for t, m in zip(b.column("text").to_pylist(), b.column("hit").to_pylist(), strict=True)]
+            yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+    return found.mapInArrow(run, found.schema)
+
+
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

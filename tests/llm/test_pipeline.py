@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as C
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -59,3 +60,19 @@ def test_near_duplicates_of_awkward_rows(rows, docs, none):
     got = [(str(r["doc_id"]), r["component_id"]) for r in minhash.near_duplicates(docs).collect()]
     assert len(got) == len(rows) and {c for d, c in got if d in ("1", "7", "-5")} == {-5} and {c for d, c in got if d == "9"} == {8}
     assert minhash.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("block", [16 << 20, 40])
+def test_long_documents_lose_benchmark_windows(spark, tmp_path, monkeypatch, block):
+    items = [" ".join(f"bench{k}x{i}" for i in range(14)) for k in range(2)]
+    half = items[1].split()
+    filler = lambda n: " ".join(f"é{n}y{i}" for i in range(400))
+    nested = f"{filler(1)}, {' '.join(half[:6])} {items[0]}! {' '.join(half[6:])} {filler(2)}"  # the second shows once the first is cut
+    texts = [filler(0), f"{filler(3)} {items[0]}.", nested, f"{items[1]} word", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    whole = C.decontam.decontaminate
+    monkeypatch.setattr(C.decontam, "decontaminate", lambda *a, **b: whole(*a, block_bytes=block, **b))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in C.decontamination(spark, docs, str(tmp_path)).collect()}
+    want = {1: f"{filler(3)} ", 2: f"{filler(1)}, {filler(2)}"}
+    assert got == {0: (texts[0], 1), 4: (None, 1), **{i: (t, len(t)) for i, t in want.items()}}
