@@ -8,9 +8,13 @@ bucket one entry per block.
 
 from __future__ import annotations
 
+import atexit
 import math
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -27,33 +31,66 @@ REQUEST = "dest long, src long, kind int, body binary"
 REPLY = "g long, dest long, kind int, body binary"
 ASK, STATE = 0, 1
 BLOCK = "__block__"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_LOCAL: dict[str, str] = {}
+_OWN: set[str] = set()
 
 
 # ---------------------------------------------------------------- storage
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; one of our own is set only where the session names none."""
+    """A new folder below the shared checkpoint folder, in one for each application that goes when Python exits.
+
+    Only a local master may do without the setting; elsewhere a folder of one machine would lose what the others write.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="rankweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/rankweave-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, partitions: list[str] | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the cut in the lineage outlives any executor."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^-]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}")
+    own = f"{base.rstrip('/')}/rankweave-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(removed, spark, own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that scratch() named; what can't be deleted stays."""
+    with suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Sets a runtime setting for the time of a job, and puts the caller's back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: the cut in the lineage outlives any executor.
+
+    What the job shuffled goes as soon as it has ended.
+    """
+    spark, path = df.sparkSession, path or scratch(df.sparkSession)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Lowers the bound on an Arrow batch's rows to `rows`, so that a batch of long texts stays small; never raises it."""
+    now = int(spark.conf.get(BATCH_ROWS))
+    if not 0 < now <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
 
 
 def partitions(spark: SparkSession) -> int:

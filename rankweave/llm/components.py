@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import stored
+from .blocks import removed, scratch, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -34,9 +34,11 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """Node and root (its component's least node) for every node of edges (u, v: longs) but the roots themselves."""
-    edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    spark, path = edges.sparkSession, scratch(edges.sparkSession)
+    edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), path)
     before = None
     while (now := _state(edges)) != before and now[0]:
-        before = now
-        edges = stored(_small(_large(edges)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        before, last, path = now, path, scratch(spark)
+        edges = stored(_small(_large(edges)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), path)
+        removed(spark, last)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
