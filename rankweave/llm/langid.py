@@ -190,6 +190,11 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] = []) -> Data
     return docs.select("doc_id", "text", *(c for c in extra if c != "text")).mapInArrow(run, schema)
 
 
+def lettered(text: str):
+    """That a text has a letter; null has none."""
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def held_out(doc_id="doc_id"):
     """Rows that a model never learns from: crc32 of the id's text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
