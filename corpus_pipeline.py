@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import blocks, decontam, langid, minhash, packing, repeats
+from rankweave.llm import blocks, decontam, langid, packing, repeats, similar
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL can express neither the classifier nor the tokenizer.
@@ -17,17 +17,18 @@ ORACLE_SQL: str | None = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told: null texts and those without a letter."""
+    """Drops documents in which no language can be told, null texts and those without a letter; names the language of
+    the others where lang is null.  Without a labelled text there is no model: lang then stays as it is."""
     model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    if model is None:
+        return docs.where(langid.lettered("text")).select(COLUMNS)
     known = langid.identify(docs, model, keep=COLUMNS).where(F.col("lang_pred") != langid.UNKNOWN)
-    return known.select(COLUMNS)
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group that five-word-shingle similarities of 0.8 or more link."""
-    groups = minhash.near_duplicates(docs)
-    kept = groups.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(COLUMNS)
+    """Keeps one document, that with the least doc_id, of each group that five-word-shingle similarities of 0.8 or more link."""
+    return similar.one_of_each(docs.select(COLUMNS), similar.similar_groups(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
