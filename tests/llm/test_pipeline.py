@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from rankweave.llm import blocks, minhash
+from rankweave.llm import blocks, similar
 
 
 def test_stages_keep_clean_documents_and_take_effect(spark, tmp_path):
@@ -52,14 +52,14 @@ def test_edited_copies_go_by_shingle_similarity(spark):
     while (after := [min(group[j] for j in n) for n in near]) != group:
         group = after
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == dict(enumerate(group))
+    assert {r["doc_id"]: r["component_id"] for r in similar.similar_groups(docs).collect()} == dict(enumerate(group))
     assert {r["doc_id"] for r in C.near_dedup(spark, docs, "").collect()} == set(group)
 
 
 def test_near_duplicates_of_awkward_rows(rows, docs, none):
-    got = [(str(r["doc_id"]), r["component_id"]) for r in minhash.near_duplicates(docs).collect()]
+    got = [(str(r["doc_id"]), r["component_id"]) for r in similar.similar_groups(docs).collect()]
     assert len(got) == len(rows) and {c for d, c in got if d in ("1", "7", "-5")} == {-5} and {c for d, c in got if d == "9"} == {8}
-    assert minhash.near_duplicates(none).count() == 0
+    assert similar.similar_groups(none).count() == 0
 
 
 @pytest.mark.parametrize("block", [16 << 20, 40])
