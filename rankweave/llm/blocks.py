@@ -31,6 +31,8 @@ REQUEST = "dest long, src long, kind int, body binary"
 REPLY = "g long, dest long, kind int, body binary"
 ASK, STATE = 0, 1
 BLOCK = "__block__"
+#: An estimate that the optimizer makes up for tables without files, at least; and input for a partition, at most.
+UNKNOWN_BYTES, PARTITION_BYTES = 1 << 50, 64 << 20
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LOCAL: dict[str, str] = {}
 _OWN: set[str] = set()
@@ -98,8 +100,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the input's size, which is the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The size of the input's files, by the optimizer's estimate; where it knows none, that of the texts."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return known if known < UNKNOWN_BYTES else df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def spread(df: DataFrame) -> int:
+    """Partitions, and buckets, of an exchange over df: the session's number, or more where they would get too large."""
+    return max(partitions(df.sparkSession), -(-input_bytes(df) // PARTITION_BYTES))
 
 
 def widened_schema(docs: DataFrame, schema: str, keep: list[str]) -> tuple[list[str], T.StructType]:
@@ -204,9 +212,9 @@ class Rolling:
 BYTE_SYMBOLS = mixed(np.arange(1, 257, dtype=U) * U(BASES[1]))
 
 
-def word_symbols(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each word, which depends on its bytes and their number."""
-    return mixed(Rolling(BYTE_SYMBOLS[data]).raw(start, end) + (end - start).astype(U) * U(MIX[0]))
+def word_symbols(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+    """A 64-bit value for each word, which depends on its bytes and their number; another base gives another value."""
+    return mixed(Rolling(BYTE_SYMBOLS[data], base).raw(start, end) + (end - start).astype(U) * U(MIX[0]))
 
 
 # ---------------------------------------------------------------- winnowing
@@ -254,10 +262,15 @@ def anchors(rolling: Rolling, bounds: np.ndarray, window: int, k: int) -> tuple[
 
 
 def grouped(docs: DataFrame, block_bytes: int, n: int, extra: list[str]) -> DataFrame:
-    """documents dealt over blocks (column BLOCK) of about block_bytes of input, several to a partition."""
+    """documents dealt over blocks (column BLOCK) of about block_bytes of input, several to a partition.
+
+    Equal rows of different input partitions go to different blocks.  A block holds at least as many bytes as there are
+    partitions, so that the rows it sends don't outnumber its keys.
+    """
     more = [c for c in extra if c != "text"]
-    blocks = max(n, -(-input_bytes(docs) // block_bytes))
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias(BLOCK), "doc_id", "text", *more).repartition(n, BLOCK)
+    blocks = max(n, -(-input_bytes(docs) // max(block_bytes, 16 * n)))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))
+    return docs.select(place.alias(BLOCK), "doc_id", "text", *more).repartition(n, BLOCK)
 
 
 def split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -35,8 +35,8 @@ class Words:
         data = LOWER[data]
         start, end = B.spans(WORD[data], off)
         self.bounds = np.searchsorted(start, off)
-        symbols = B.word_symbols(data, start, end)
-        self.first, self.second = B.Rolling(symbols), B.Rolling(symbols, B.BASES[1])
+        self.first = B.Rolling(B.word_symbols(data, start, end))
+        self.second = B.Rolling(B.word_symbols(data, start, end, B.BASES[1]), B.BASES[1])  # shares no word value
 
     def keys(self, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         return self.first.slices(start, start + n), self.second.slices(start, start + n)

@@ -42,7 +42,8 @@ SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, {_BASE32} A
 FROM p JOIN f USING (h)"""
 
 TOP_K = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.e) <> len(c.e) THEN NULL WHEN len(q.e) = 0 THEN 0 ELSE list_dot_product(q.e, c.e) END::BIGINT AS score
+    FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.r <> q.r)
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s WHERE score IS NOT NULL QUALIFY rank <= 20"""

@@ -12,14 +12,16 @@ each send few keys and no pairs:
 
 No step lists the members of a group: a block sends every key once, with the least of its documents.
 
-Symbols are words (``substring``) or bytes (``suffix_array``).  For bytes, each block puts the windows of step 4 in
-order with a hash-compared suffix sort, whose matches are verified byte by byte, and sends one of each class.  Between
-blocks, stretches and windows are compared by two independent 64-bit hashes.
+Symbols are words (``substring``) or bytes (``suffix_array``).  For bytes, a hash-compared suffix sort of each block
+decides which stretches (step 2) and which windows (step 4) are equal; matches are verified byte by byte, and one of
+each class is sent.  Between blocks, byte strings are compared by a 64-bit hash and 32 bits of a BLAKE2 digest of
+their bytes, word sequences by two hashes that share no word value.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -33,16 +35,31 @@ from .suffixes import Suffixes
 
 SPACE = B.byte_table([0x20, *range(0x09, 0x0E)])
 GROUP = 8
+LONGEST = 1 << 20
 
 
 @dataclass(frozen=True)
 class Repeats:
-    """window: symbols of a window; k: symbols of an anchor."""
+    """window: symbols of a window (1 to LONGEST); k: symbols of an anchor (a longer one is cut to the window)."""
 
     words: bool
     window: int
     k: int
 
+    def __post_init__(self):
+        if not (1 <= self.window <= LONGEST and self.k >= 1):
+            raise ValueError(f"a window has 1 to {LONGEST} symbols, and an anchor at least 1")
+        object.__setattr__(self, "k", min(self.k, self.window))
+
+    @property
+    def group(self) -> int:
+        return min(GROUP, self.window)
+
+    @property
+    def offset(self) -> str:
+        """The type of an anchor's distance from the beginning of a window."""
+        return "u1" if self.window - self.k < 1 << 8 else "u4"
+
 
 
 class Block:
@@ -72,8 +89,25 @@ class Block:
         place, first, last = B.anchors(self.rolling, self.bounds, self.how.window, self.how.k)
         return place, first, last, self.rolling.slices(place, place + self.how.k)
 
-    def second(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return B.Rolling(self.symbols, B.BASES[1]).slices(start, end)
+    def classes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Equal slices: a slice of each class in the order that they are sent in, its two keys, and the class of each."""
+        if self.how.words:
+            first = self.rolling.slices(start, end)
+            second = B.Rolling(B.word_symbols(self.data, self.start, self.end, B.BASES[1]), B.BASES[1]).slices(start, end)
+            order, new, group = _distinct(first, second)
+            return order[new], first[order[new]], second[order[new]], group
+        order, new, group = _distinct(Suffixes(self.data, start, end - start, self.rolling).classes())
+        one, raw = order[new], self.data.tobytes()
+        first = self.rolling.slices(start[one], end[one])
+        names = (blake2b(raw[a:z], digest_size=8).digest() for a, z in zip(start[one].tolist(), end[one].tolist(), strict=True))
+        second = np.frombuffer(b"".join(names), U)
+        order, new, merged = _distinct(first, second)
+        return one[order[new]], first[order[new]], second[order[new]], merged[group]
+
+    def group(self, start: np.ndarray, end: np.ndarray, classes: int) -> np.ndarray:
+        """The class of each slice, of which `classes` were sent; what is slow to tell only if hashes fell together."""
+        _, new, group = _distinct(self.rolling.slices(start, end))
+        return group if len(new) == classes else self.classes(start, end)[3]
 
 
 def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,8 +131,10 @@ def _flags(doc: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (np.maximum.reduceat(d, start) != np.minimum.reduceat(d, start)).astype(np.uint8)
 
 
-def _least(doc: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return np.minimum.reduceat(doc[order], start) if len(order) else np.zeros(0, np.int64)
+def _least_of(doc: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    least = np.full(groups, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, doc)
+    return least
 
 
 def _delta(x: np.ndarray) -> np.ndarray:
@@ -106,7 +142,7 @@ def _delta(x: np.ndarray) -> np.ndarray:
 
 
 def _steps(how: Repeats):
-    L = how.window
+    L, G = how.window, how.group
 
     def anchor_keys(g, t, _, buckets):
         b = Block(t, how)
@@ -115,71 +151,56 @@ def _steps(how: Repeats):
         key = key[order][start]
         return B.requests(g, buckets, key, B.flagged(key, _flags(b.doc(place), order, start)), b"")
 
-    def stretch_key(b, place, first, last):
-        return b.rolling.slices(first, last + L) ^ B.mixed((place - first).astype(U) + U(1))
-
     def stretches(g, t, replies, buckets):
         b = Block(t, how)
         place, first, last, key = b.anchors()
         _, _, group = _distinct(key)
         shared = B.received(replies)[1][group]
         place, first, last = place[shared], first[shared], last[shared]
-        k1, k2 = stretch_key(b, place, first, last), b.second(first, last + L)
-        order, start, _ = _distinct(k1)
-        one = order[start]
-        state = B.pack(_delta(place), (place - first).astype(np.uint8), (place - last).astype(np.uint8))
-        return B.requests(g, buckets, k1[one], B.owned(k1[one], k2[one]), state, _least(b.doc(place), order, start))
+        one, k1, k2, group = b.classes(first, last + L)
+        state = B.pack(_delta(place), (place - first).astype(how.offset), (place - last).astype(how.offset))
+        return B.requests(g, buckets, k1, B.owned(k1, k2), state, _least_of(b.doc(place), group, len(one)))
 
     def pairs(place, low, high):
         """(anchor, group of eight offsets) for all offsets that anchors have."""
-        a, z = low // GROUP, high // GROUP
+        a, z = low // G, high // G
         n = z - a + 1
         who = np.repeat(np.arange(len(place)), n)
         return who, a[who] + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
 
     def core_key(b, place, q):
-        at = place - q * GROUP
-        return b.rolling.slices(at, at + L - GROUP + 1) ^ B.mixed(q.astype(U) + U(1))
+        at = place - q * G
+        return b.rolling.slices(at, at + L - G + 1) ^ B.mixed(q.astype(U) + U(1))
 
     def cores(g, t, replies, buckets):
         b = Block(t, how)
         state, beaten = B.received(replies)
-        delta, high, low = B.unpack(state, "u4", "u1", "u1")
+        delta, high, low = B.unpack(state, "u4", how.offset, how.offset)
         place, high, low = np.cumsum(delta, dtype=np.int64), high.astype(np.int64), low.astype(np.int64)
         doc = b.doc(place)
-        done = _settled(beaten, _distinct(stretch_key(b, place, place - high, place - low))[2], doc)
+        done = _settled(beaten, b.group(place - high, place - low + L, len(beaten)), doc)
         covered = _union(place[done] - high[done], place[done] - low[done] + L)
         place, low, high, doc = place[~done], low[~done], high[~done], doc[~done]
         who, q = pairs(place, low, high)
         key = core_key(b, place[who], q)
         order, start, _ = _distinct(key)
-        state = B.pack(*covered, _delta(place), high.astype(np.uint8), low.astype(np.uint8))
+        state = B.pack(*covered, _delta(place), high.astype(how.offset), low.astype(how.offset))
         key = key[order][start]
         return B.requests(g, buckets, key, B.flagged(key, _flags(doc[who], order, start)), state)
 
     def windows(g, t, replies, buckets):
         b = Block(t, how)
         state, flag = B.received(replies)
-        begin, end, delta, high, low = B.unpack(state, "i4", "i4", "u4", "u1", "u1")
+        begin, end, delta, high, low = B.unpack(state, "i4", "i4", "u4", how.offset, how.offset)
         place, low, high = np.cumsum(delta, dtype=np.int64), low.astype(np.int64), high.astype(np.int64)
         who, q = pairs(place, low, high)
         live = flag[_distinct(core_key(b, place[who], q))[2]]
         who, q = who[live], q[live]
-        a, z = np.maximum(low[who], q * GROUP), np.minimum(high[who], q * GROUP + GROUP - 1)
+        a, z = np.maximum(low[who], q * G), np.minimum(high[who], q * G + G - 1)
         n = z - a + 1
         at = np.repeat(place[who] - a, n) - (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-        k1, k2 = b.rolling.slices(at, at + L), b.second(at, at + L)
-        if how.words:
-            order, start, _ = _distinct(k1)
-            one, least = order[start], _least(b.doc(at), order, start)
-        else:  # a class of the suffix sort is a key
-            order, start, _ = _distinct(Suffixes(b.data, at, L, b.rolling).classes())
-            one, least = order[start], _least(b.doc(at), order, start)
-            by_key = np.argsort(k1[one])
-            one, least = one[by_key], least[by_key]
-            if (k1[one[1:]] == k1[one[:-1]]).any():
-                raise ArithmeticError("two different strings have the same hash; choose other bases")
-        return B.requests(g, buckets, k1[one], B.owned(k1[one], k2[one]), B.pack(begin, end, _delta(at)), least)
+        one, k1, k2, group = b.classes(at, at + L)
+        return B.requests(g, buckets, k1, B.owned(k1, k2), B.pack(begin, end, _delta(at)), _least_of(b.doc(at), group, len(one)))
 
     several, beaten = B.answered(("u4", "u2"), B.several), B.answered(("u8", "u4"), B.beaten, valued=True)
     return [(anchor_keys, several), (stretches, beaten), (cores, several), (windows, beaten)]
@@ -187,9 +208,7 @@ def _steps(how: Repeats):
 
 def _settled(beaten: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Entries for which a smaller document has the same: in another block, or in this one."""
-    least = np.full(len(beaten), np.iinfo(np.int64).max)
-    np.minimum.at(least, group, doc)
-    return beaten[group] | (least[group] < doc)
+    return beaten[group] | (_least_of(doc, group, len(beaten))[group] < doc)
 
 
 def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +227,7 @@ def removed(t: pa.Table, replies: pa.Table, how: Repeats) -> tuple[Block, np.nda
     state, beaten = B.received(replies)
     begin, end, delta = B.unpack(state, "i4", "i4", "u4")
     at = np.cumsum(delta, dtype=np.uint32).astype(np.int64)  # differences modulo 2**32
-    hit = at[_settled(beaten, _distinct(b.rolling.slices(at, at + how.window))[2], b.doc(at))]
+    hit = at[_settled(beaten, b.group(at, at + how.window, len(beaten)), b.doc(at))]
     depth = np.zeros(int(b.all_bounds[-1]) + 1, np.int32)
     for a, z in ((begin.astype(np.int64), end.astype(np.int64)), (hit, hit + how.window)):
         np.add.at(depth, a, 1)
@@ -239,7 +258,7 @@ def _kept_bytes(b: Block, gone: np.ndarray) -> list[bytes]:
 def _run(docs: DataFrame, how: Repeats, final, schema: str, block_bytes: int, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     B.small_batches(spark)
-    n = B.partitions(spark)
+    n = B.spread(docs)
     extra, full = B.widened_schema(docs, schema, keep)
 
     def last(g, t, replies):
@@ -254,7 +273,8 @@ def _run(docs: DataFrame, how: Repeats, final, schema: str, block_bytes: int, ke
 def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16, block_bytes: int = 1 << 18, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """Removes every word covered by a window of `window` words that also starts in a document with a smaller doc_id.
 
-    docs needs doc_id and text; of other columns those in keep are carried along.  Returns for each row doc_id, n_words, n_removed and kept
+    docs needs doc_id and text; of other columns those in keep are carried along.  A window has 1 to 2**20 symbols.
+    Returns for each row doc_id, n_words, n_removed and kept
     (the kept words joined by one space).  Null and empty texts have no words; a row whose doc_id is null matches
     nothing and keeps all its words; rows that share a doc_id do not shorten each other, and each gives a row.  An
     empty table gives an empty result.  A text shorter than a window is kept.
@@ -272,7 +292,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, k: int = 16, block_bytes:
 def suffix_array_dedup(docs: DataFrame, length: int = 50, k: int = 20, block_bytes: int = 1 << 18, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """Removes every byte covered by a string of `length` bytes that also starts in a document with a smaller doc_id.
 
-    docs needs doc_id and text; of other columns those in keep are carried along.  Returns for each row doc_id, n_bytes, n_removed, n_spans
+    docs needs doc_id and text; of other columns those in keep are carried along.  A string has 1 to 2**20 bytes.
+    Returns for each row doc_id, n_bytes, n_removed, n_spans
     (maximal removed runs) and kept (binary: the remaining bytes, which need not be valid UTF-8).  A null text is an
     empty one; rows with a null doc_id match nothing; rows that share a doc_id do not shorten each other, and each
     gives a row.  An empty table gives an empty result.
@@ -289,10 +310,12 @@ def suffix_array_dedup(docs: DataFrame, length: int = 50, k: int = 20, block_byt
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
+    """suffix_array_dedup() of documents with strings of 50 bytes; the kept bytes as their digest."""
     out = suffix_array_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """substring_dedup() of documents with windows of 50 words; the kept words as their digest."""
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

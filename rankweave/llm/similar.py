@@ -83,7 +83,7 @@ def support(docs: DataFrame, size: int, least: tuple[int, int], block_bytes: int
 
     Keys are cut to 48 bits on the way, so a support may be too large, never too small.
     """
-    n = B.partitions(docs.sparkSession)
+    n = B.spread(docs)
 
     def emit(g, t, _, buckets):
         key, flag = Shingles(t["text"], size).sent()

@@ -74,3 +74,62 @@ def test_suffix_order_and_classes():
     assert s.order().tolist() == want
     classes = s.classes()
     assert all((classes[a] == classes[b]) == (raw[a : a + 50] == raw[b : b + 50]) for a in range(0, 350, 3) for b in range(0, 350, 5))
+
+
+@pytest.mark.parametrize("window", [50, 300, 400])
+def test_long_windows(spark, window):
+    rng = random.Random(window)
+    shared = [f"s{rng.randrange(500)}" for _ in range(700)]
+    rows = [(1, " ".join(shared)), (2, "x " + " ".join(shared) + " y"), (3, " ".join(shared[:350] + ["cut"] + shared[350:])), (4, " ".join(shared[100:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = check_words(spark, rows, window, 16, df)
+    assert {i: n for i, _, n, _ in want}[2] == 700
+    check_bytes(spark, rows, window, 20, df)
+
+
+def test_short_windows_and_windows_out_of_range(spark):
+    rows = [(i, t) for i, t in enumerate(["a b c a", "c a b", "b b", "", "a"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for window in (1, 2, 7):
+        check_words(spark, rows, window, 16, df)
+        check_bytes(spark, rows, window, 20, df)
+    for bad in (0, repeats.LONGEST + 1):
+        with pytest.raises(ValueError, match="symbols"):
+            repeats.substring_dedup(df, bad)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_byte_repeats_dont_hang_on_the_rolling_hash(spark, seed, monkeypatch):
+    """Different strings whose rolling hashes are equal are told apart: in a block by their bytes, between blocks by a digest."""
+    rng = random.Random(seed)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 90)))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def emitted(step):
+        return lambda *a: _weakly(step, *a)
+
+    def _weakly(step, *a):
+        from rankweave.llm import blocks
+
+        whole = blocks.Rolling.slices
+        blocks.Rolling.slices = lambda self, s, e: whole(self, s, e) & np.uint64(0x7 << 61)  # eight values for all
+        try:
+            return step(*a)
+        finally:
+            blocks.Rolling.slices = whole
+
+    steps, final = repeats._steps, repeats.removed
+    monkeypatch.setattr(repeats, "_steps", lambda how: [(emitted(e), a) for e, a in steps(how)])
+    monkeypatch.setattr(repeats, "removed", emitted(final))
+    check_bytes(spark, rows, 14, 5, df)
+
+
+def test_suffixes_of_several_lengths():
+    rng = random.Random(8)
+    data = np.frombuffer(bytes(rng.choice(b"\0ab") for _ in range(300)), np.uint8)
+    starts, lengths = np.array([rng.randrange(250) for _ in range(400)]), np.array([rng.randrange(1, 40) for _ in range(400)])
+    raw = [data.tobytes()[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist())]
+    s = Suffixes(data, starts, lengths)
+    assert [raw[i] for i in s.order()] == sorted(raw)
+    classes = s.classes()
+    assert all((classes[a] == classes[b]) == (raw[a] == raw[b]) for a in range(400) for b in range(0, 400, 7))
