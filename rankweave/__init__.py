@@ -1 +1 @@
-"""Hybrid search and rank fusion over DataFrames."""
+"""Hybrid retrieval and rank fusion over DataFrames."""

@@ -15,14 +15,12 @@ DIGITS = 12
 def fuse(listings: list[DataFrame], k: int = K) -> DataFrame:
     """One row per query and key: the sum of 1 / (k + pos) over the listings that hold it.
 
-    A key that a listing holds twice counts at its first place.  The row's other columns are those of its first entry by
-    (input_ord, pos), which also breaks ties; rankers are in the order in which they first contributed, and
-    ranker_scores has each ranker's native score from its first entry.  One shuffle, by query and key.
+    A key that a listing holds twice counts at its first place.  Ties go by the first entry's (input_ord, pos); rankers
+    are in the order in which they first contributed, and ranker_scores has each ranker's native score from its first
+    entry.  One shuffle, by query and key.
     """
     entries = reduce(DataFrame.unionByName, listings)
-    rest = [c for c in ("source", "source_id", "ts_ms", "scope", "excerpt", "rerank_score", "meta") if c in entries.columns]
-    # a map can't be ordered, but its entries can
-    entry = F.struct(*(F.map_entries("meta").alias("meta") if c == "meta" else F.col(c) for c in ("input_ord", "pos", "ranker", "score", *rest)))
+    entry = F.struct("input_ord", "pos", "ranker", "score", "source", "source_id")
     lists = entries.groupBy("query_id", "key").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     inputs = F.array_distinct(F.transform("e", lambda x: x["input_ord"]))
     once = F.transform(inputs, lambda o: F.get(F.filter("e", lambda x: x["input_ord"] == o), F.lit(0)))
@@ -30,7 +28,6 @@ def fuse(listings: list[DataFrame], k: int = K) -> DataFrame:
     native = F.map_from_arrays(names, F.transform(names, lambda r: F.get(F.filter("e", lambda x: x["ranker"] == r), F.lit(0))["score"]))
     score = F.aggregate(once, F.lit(0.0), lambda acc, x: acc + F.lit(1.0) / (F.lit(k) + x["pos"]))
     head = F.get("e", F.lit(0))
-    columns = [(F.map_from_entries(head["meta"]) if c == "meta" else head[c]).alias(c) for c in rest]
-    fused = lists.select("query_id", "key", *columns, F.round(score, DIGITS).alias("score"), names.alias("rankers"), native.alias("ranker_scores"), head["input_ord"].alias("input_ord"), head["pos"].alias("input_pos"))
+    fused = lists.select("query_id", "key", head["source"].alias("source"), head["source_id"].alias("source_id"), F.round(score, DIGITS).alias("score"), names.alias("rankers"), native.alias("ranker_scores"), head["input_ord"].alias("input_ord"), head["pos"].alias("input_pos"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "input_ord", "input_pos")
     return fused.withColumn("pos", F.row_number().over(order)).drop("input_ord", "input_pos")

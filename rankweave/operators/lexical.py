@@ -9,53 +9,64 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lexemes
+from ..functions.text import lexemes, query_lexemes
 
 SPAN = 16
 #: Documents that the anchors of a coverage-graded match may have in all, where a request names no budget.
 DF_BUDGET = 2000
 #: Rows of a table that may be sent to every task.
 BROADCAST_ROWS = 20_000
+#: Queries that every row may look at.
+ROWWISE = 64
 #: Scores are rounded so that the order of additions never splits a tie.
 DIGITS = 6
 
 
 @dataclass(frozen=True)
 class Terms:
-    """Lexemes of a batch of queries: query_id, lex, term (0-based) and n_terms.
+    """Lexemes of a batch of queries: a table of query_id, lex, term (0-based) and n_terms.
 
-    queries is their number if the lexemes were counted and are few enough to go to every task, else None.
+    items has the lexemes of each query if there are few enough to go to every task, else it is None.
     """
 
     table: DataFrame
-    queries: int | None
+    items: list[tuple[int, list[str]]] | None
+
+    @property
+    def few(self) -> bool:
+        """Whether every row may look at every query."""
+        return self.items is not None and len(self.items) <= ROWWISE and sum(len(w) for _, w in self.items) <= 8 * ROWWISE
+
+    def words(self) -> list[str]:
+        return sorted({w for _, ws in self.items or [] for w in ws})
 
     def bounded(self, hits: DataFrame, cap: int) -> DataFrame:
         """A table of at most cap rows a query, marked for broadcast if that is few rows."""
-        return F.broadcast(hits) if self.queries is not None and self.queries * cap <= BROADCAST_ROWS else hits
+        return F.broadcast(hits) if self.items is not None and len(self.items) * cap <= BROADCAST_ROWS else hits
 
 
-def query_terms(queries: DataFrame | Terms) -> Terms:
+def query_terms(spark: SparkSession, queries: DataFrame | list[tuple[int, str]] | Terms) -> Terms:
     """Lexemes of queries (query_id, text).  A batch of up to BROADCAST_ROWS lexemes is sent to the tasks, so that
     documents are matched where they are read; a larger one is joined by lexeme."""
     if isinstance(queries, Terms):
         return queries
-    terms = F.array_distinct(lexemes(F.col("text")))
-    table = queries.select("query_id", F.posexplode(terms).alias("term", "lex"), F.size(terms).alias("n_terms"))
-    rows = table.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        return Terms(table, None)
-    spark = queries.sparkSession
-    kind = "query_id long, term int, lex string, n_terms int"
-    if rows and len(rows) <= 256:  # as literals, which need no job of their own
-        literal = F.array(*(F.struct(F.lit(r[0]).cast("long").alias("query_id"), F.lit(r[1]).alias("term"), F.lit(r[2]).alias("lex"), F.lit(r[3]).alias("n_terms")) for r in rows))
-        small = spark.range(1).select(F.inline(literal))
+    if isinstance(queries, list):
+        items = [(q, query_lexemes(text)) for q, text in queries]
     else:
-        small = spark.createDataFrame([tuple(r) for r in rows], kind)
-    return Terms(F.broadcast(small), len({r[0] for r in rows}))
+        lex = F.array_distinct(lexemes(F.col("text")))
+        table = queries.select("query_id", F.posexplode(lex).alias("term", "lex"), F.size(lex).alias("n_terms"))
+        rows = table.limit(BROADCAST_ROWS + 1).collect()
+        if len(rows) > BROADCAST_ROWS:
+            return Terms(table, None)
+        found: dict[int, list[str]] = {}
+        for r in sorted(rows, key=lambda r: (r["query_id"], r["term"])):
+            found.setdefault(r["query_id"], []).append(r["lex"])
+        items = list(found.items())
+    rows = [(q, i, w, len(ws)) for q, ws in items for i, w in enumerate(ws)]
+    return Terms(F.broadcast(spark.createDataFrame(rows, "query_id long, term int, lex string, n_terms int")), [x for x in items if x[1]])
 
 
 def postings(rows: DataFrame) -> DataFrame:
@@ -63,6 +74,19 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.select("source_id", F.posexplode(lexemes(F.col("text"))).alias("word", "lex"))
 
 
+def scored(rows: DataFrame, terms: Terms, keep: list[str]) -> DataFrame:
+    """What matches() gives, from rows (source_id, text) and a few queries, and the columns in keep: every row is
+    matched where it is read, and nothing is shuffled."""
+    hit = F.filter(F.transform(lexemes(F.col("text")), lambda x, i: F.struct(i.alias("word"), x.alias("lex"))), lambda h: h["lex"].isin(terms.words()))
+    queries = F.array(*(F.struct(F.lit(q).cast("long").alias("query_id"), F.array(*map(F.lit, words)).alias("lex")) for q, words in terms.items or []))
+    # the generators keep the expensive expressions from being written out, and computed, twice
+    found = rows.select("source_id", *keep, F.explode(F.array(hit)).alias("all")).where(F.size("all") > 0).select("source_id", *keep, "all", F.explode(queries).alias("q"))
+    mine = F.filter(F.transform("all", lambda h: F.struct(h["word"].alias("word"), (F.array_position(F.col("q.lex"), h["lex"]) - 1).cast("int").alias("term"), h["lex"].alias("lex"))), lambda h: h["term"] >= 0)
+    found = found.select("source_id", *keep, F.col("q.query_id").alias("query_id"), F.size("q.lex").alias("n_terms"), F.explode(F.array(mine)).alias("hits")).where(F.size("hits") > 0)
+    found = found.withColumn("terms", F.array_distinct(F.transform("hits", lambda x: x["lex"]))).withColumn("coverage", F.size("terms"))
+    return found.select("query_id", "source_id", *keep, "n_terms", "terms", "coverage", cover_density(F.col("hits"), F.col("coverage"), F.col("n_terms")).alias("score"))
+
+
 def cover_density(hits: Column, coverage: Column, n_terms: Column) -> Column:
     """Score of sorted hits (array of structs word, term) over the `coverage` terms that occur."""
     start = F.struct(F.array_repeat(F.lit(-1), n_terms).alias("last"), F.lit(-1).alias("left"), F.lit(0.0).alias("score"))
@@ -117,6 +141,12 @@ def match_graded(found: DataFrame, cap: int, budget: int | None = None) -> DataF
     return ranked(admitted, [F.desc("coverage"), F.desc("score"), F.asc("source_id")], cap)
 
 
+def widened(found: DataFrame, cap: int, budget: int | None = None) -> DataFrame:
+    """cascade(match_all(found, cap), match_graded(found, cap, budget), cap): as the rows of match_all come first among
+    those of match_graded, and in the same order, it is the latter with its partial matches told apart."""
+    return match_graded(found, cap, budget).withColumn("appended", F.col("coverage") < F.col("n_terms"))
+
+
 def cascade(first: DataFrame, second: DataFrame, cap: int, terms: Terms | None = None) -> DataFrame:
     """Appends to each query's thin first listing the rows of the second that it lacks, up to cap rows in all.
 

@@ -1,4 +1,4 @@
-"""What each leg of a search contributed, and whether the result is degraded."""
+"""What each leg of a request contributed, and whether the result is degraded."""
 
 from __future__ import annotations
 
@@ -25,6 +25,10 @@ class LegAccumulator:
     failures: list[tuple[str, str]] = field(default_factory=list)
     blocked: str | None = None
 
+    def failed(self, source: str, error: Exception) -> None:
+        self.calls_failed += 1
+        self.failures.append((source, str(error).splitlines()[0] if str(error) else type(error).__name__))
+
 
 @dataclass(frozen=True)
 class LegReport:
@@ -39,7 +43,7 @@ class LegReport:
 
 
 @dataclass(frozen=True)
-class SearchLegs:
+class Legs:
     lexical: LegReport
     semantic: LegReport
     degraded: bool
@@ -71,8 +75,8 @@ def finalise_leg(a: LegAccumulator) -> LegReport:
     return LegReport(status, a.candidates, a.floored, a.stage2_added, a.calls_run, a.calls_failed, tuple(a.failures), a.blocked)
 
 
-def empty_legs() -> SearchLegs:
-    return SearchLegs(LegReport("not-run"), LegReport("not-run"), False, None)
+def empty_legs() -> Legs:
+    return Legs(LegReport("not-run"), LegReport("not-run"), False, None)
 
 
 def failure_text(failures: tuple[tuple[str, str], ...]) -> str:
@@ -81,8 +85,8 @@ def failure_text(failures: tuple[tuple[str, str], ...]) -> str:
     return ", ".join(named) + (f" +{more} more" if more > 0 else "")
 
 
-def summarise_legs(lexical: LegReport, semantic: LegReport) -> SearchLegs:
-    """A search is degraded if a leg was blocked or failed, wholly or in part, or if one leg brought nothing while the
+def summarise_legs(lexical: LegReport, semantic: LegReport) -> Legs:
+    """A request is degraded if a leg was blocked or failed, wholly or in part, or if one leg brought nothing while the
     other did.  Two legs that both found nothing are healthy."""
     reasons = []
     both = (("lexical", lexical), ("semantic", semantic))
@@ -100,4 +104,4 @@ def summarise_legs(lexical: LegReport, semantic: LegReport) -> SearchLegs:
     if semantic.status != "not-run" and semantic.blocked is None:
         reasons += empty("semantic", semantic, lexical, "lexical")
     reasons += [f"{leg.calls_failed} {name} source call(s) failed: {failure_text(leg.failures)}" for name, leg in both if leg.calls_failed and leg.calls_run]
-    return SearchLegs(lexical, semantic, bool(reasons), "; ".join(reasons) or None)
+    return Legs(lexical, semantic, bool(reasons), "; ".join(reasons) or None)

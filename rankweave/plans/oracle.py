@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import query_lexemes
 
-#: The searchable tables: source_id, text and what predicates use.
+#: The tables to look through: source_id, text and what predicates use.
 TABLES = {
     "documents": "SELECT CAST(d.doc_id AS VARCHAR) AS source_id, d.text, d.lang, d.source, epoch_us(e.ts) // 1000 AS ts_ms FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id",
     "conversations": "SELECT conv_id || ':' || turn AS source_id, text, role, conv_id FROM conversations",

@@ -1,4 +1,4 @@
-"""Session-wide search defaults: resolvers for score floors and recency that requests may override or turn off."""
+"""Session-wide defaults: resolvers for score floors and recency that requests may override or turn off."""
 
 from __future__ import annotations
 
@@ -20,26 +20,26 @@ class PolicyContext:
 
 
 @dataclass(frozen=True)
-class SearchDefaults:
+class Defaults:
     min_score: Callable[[PolicyContext], Any] | None = None
     recency: Callable[[PolicyContext], Any] | None = None
 
 
-_host: SearchDefaults | None = None
+_host: Defaults | None = None
 
 
-def configure_search_defaults(host: SearchDefaults) -> None:
+def configure_defaults(host: Defaults) -> None:
     """Replaces the registered defaults as a whole."""
     global _host
     _host = host
 
 
-def reset_search_defaults() -> None:
+def reset_defaults() -> None:
     global _host
     _host = None
 
 
-def search_defaults_host() -> SearchDefaults | None:
+def defaults_host() -> Defaults | None:
     return _host
 
 
@@ -54,23 +54,32 @@ def resolve_default(given: Any, resolver: Callable[[PolicyContext], Any] | None,
         return None, False
     try:
         value = resolver(context)
-    except Exception:  # a policy never breaks a search
+    except Exception:  # a policy never breaks a request
         return None, False
     return (None, False) if value is None or value is False else (value, True)
 
 
+@dataclass(frozen=True)
+class Applied:
+    """The floors in force, or None; whether recency was mixed in; and whether a policy was registered."""
+
+    min_score: dict[str, float] | None = None
+    recency: bool = False
+    policy_registered: bool = False
+
+
 @dataclass(frozen=True)
 class Resolved:
     min_score: dict[str, float]
     recency: Any
-    applied: dict[str, bool]
+    applied: Applied
 
 
-def resolve_search_defaults(request: Request, mode: str) -> Resolved:
-    """Floors and recency in force, and which of the two are in force at all.  A full-text search applies no recency
+def resolve_defaults(request: Request, mode: str) -> Resolved:
+    """Floors and recency in force, and which of the two are in force at all.  A full-text request applies no recency
     and reports none."""
-    host = _host or SearchDefaults()
+    host = _host or Defaults()
     context = PolicyContext(request.query, request.limit, mode, request.embedder if mode != "fulltext" else None)
     floors, _ = resolve_default(request.min_score, host.min_score, context)
     recency, _ = (None, False) if mode == "fulltext" else resolve_default(request.recency, host.recency, context)
-    return Resolved(floors or {}, recency, {"min_score": floors is not None, "recency": recency is not None})
+    return Resolved(floors or {}, recency, Applied(floors, recency is not None, _host is not None))

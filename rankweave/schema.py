@@ -1,4 +1,4 @@
-"""Search requests and the one intermediate table, the listing: hits of one ranker and source in best-first order."""
+"""Requests and the one intermediate table, the listing: hits of one ranker and source in best-first order."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import types as T
 
-#: A listing's columns.  pos is 1-based within (query_id, input_ord) and is recomputed after every filter.
+#: A listing's columns.  pos is 1-based within (query_id, input_ord) and is recomputed after every filter; appended says
+#: that a widening added the row.
 LISTING = T.StructType(
     [
         T.StructField("query_id", T.LongType()),
@@ -21,15 +22,11 @@ LISTING = T.StructType(
         T.StructField("input_ord", T.IntegerType()),
         T.StructField("pos", T.IntegerType()),
         T.StructField("score", T.DoubleType()),
-        T.StructField("ts_ms", T.LongType()),
-        T.StructField("scope", T.StringType()),
-        T.StructField("excerpt", T.StringType()),
-        T.StructField("rerank_score", T.DoubleType()),
-        T.StructField("meta", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("appended", T.BooleanType()),
     ]
 )
-#: What a source gives for each row.
-ROW = ["source_id", "ts_ms", "scope", "excerpt", "rerank_score", "meta"]
+#: What a source gives for each row that is asked for by its id, and their types.
+ROW = {"source_id": "string", "ts_ms": "long", "scope": "string", "excerpt": "string", "rerank_score": "double", "meta": "map<string,string>"}
 
 LEXICAL, FRESH, EMBEDDINGS = "lexical", "lexical-fresh", "embeddings"
 
@@ -77,7 +74,11 @@ class Recency:
 
 @dataclass(frozen=True)
 class Params:
-    """A scan request, consumed while a source builds its DataFrame."""
+    """A scan request, consumed while a source builds its DataFrame.
+
+    want_highlight is False for a source that may leave headlines out, as it gives them later for a page's ids; words
+    are the query's lexemes.
+    """
 
     limit: int
     workspace_id: Any = None
@@ -85,6 +86,8 @@ class Params:
     filters: Filters = Filters()
     lexical_mode: str | None = None
     anchor_df_budget: int | None = None
+    want_highlight: bool | None = None
+    words: tuple[str, ...] = ()
 
 
 class Aborted(Exception):
@@ -105,12 +108,16 @@ class Signal:
 
     def check(self) -> None:
         if self._event.is_set():
-            raise Aborted("the search was aborted")
+            raise Aborted("the request was aborted")
 
 
 @dataclass(frozen=True)
 class Request:
-    """What to search for and how.  None, False and UNSET are told apart where a policy may step in."""
+    """What to look for and how.  None, False and UNSET are told apart where a policy may step in.
+
+    defer_highlight leaves the headlines to the end, for the rows of the page alone; without it every candidate gets its
+    own.  materialize_legs runs each leg by itself, so that a source that fails at run time degrades the result only.
+    """
 
     query: str | None = None
     limit: int = 10
@@ -128,8 +135,10 @@ class Request:
     lexical_mode: str | None = None
     anchor_df_budget: int | None = None
     lexical_cascade: bool = True
-    materialize_legs: bool = False
+    materialize_legs: bool = True
     log: Callable[[str], None] | None = None
 
-    def params(self, limit: int) -> Params:
-        return Params(limit, self.workspace_id, self.scope, self.filters, self.lexical_mode, self.anchor_df_budget)
+    def params(self, limit: int, words: tuple[str, ...] = ()) -> Params:
+        """A mode that is the default is not passed on, so a source can't tell it from none."""
+        mode = self.lexical_mode if self.lexical_mode != "and" else None
+        return Params(limit, self.workspace_id, self.scope, self.filters, mode, self.anchor_df_budget, None, words)

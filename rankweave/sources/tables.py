@@ -1,8 +1,8 @@
-"""Searchable tables: a DataFrame and what its columns mean."""
+"""Tables to look through: a DataFrame and what its columns mean."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ class TableSource:
 
     Columns are expressions over `table`; those that are None don't exist, and filters on them are ignored.  vectors has
     source_id (string) and v (array of doubles).  lexical_index may be a stored table of postings (source_id, word, lex),
-    which `build_index` makes; without one a query tokenizes the rows that its filters leave.
+    which `indexed` makes; without one a query tokenizes the rows that its filters leave.  A source that hydrates gives
+    headlines for a page's ids, so it may leave them out before.
     """
 
     name: str
@@ -59,62 +60,73 @@ class TableSource:
                 t = t.where(self.ts_ms < F.lit(f.until))
         return t
 
-    def rows(self, p: Params, text: bool = False) -> DataFrame:
-        """source_id, ts_ms, scope, excerpt, rerank_score, meta, and text if asked for."""
-        null = lambda kind: F.lit(None).cast(kind)
-        meta = F.map_from_arrays(F.array(*(F.lit(k) for k in self.meta)), F.array(*(c.cast("string") for c in self.meta.values()))) if self.meta else null("map<string,string>")
-        columns = [
-            self.id.cast("string").alias("source_id"),
-            (self.ts_ms.cast("long") if self.ts_ms is not None else null("long")).alias("ts_ms"),
-            (self.scope.cast("string") if self.scope is not None else null("string")).alias("scope"),
-            excerpt(self.text).alias("excerpt"),
-            (self.rerank_score.cast("double") if self.rerank_score is not None else null("double")).alias("rerank_score"),
-            meta.alias("meta"),
-        ]
-        return self.filtered(p).select(*columns, *([self.text.alias("text")] if text else []))
+    def ids(self, p: Params, text: bool = False) -> DataFrame:
+        """source_id, and text if asked for, of the rows that the request's predicates leave."""
+        return self.filtered(p).select(self.id.cast("string").alias("source_id"), *([self.text.alias("text")] if text else []))
+
+    def _predicated(self, p: Params) -> bool:
+        return self.filtered(p) is not self.table
+
+    # ---- rankers
 
     def build_index(self) -> DataFrame:
-        """Postings of the whole table, to be written once and given back as lexical_index."""
+        """Postings of the whole table, to be written once (see `indexed`) and given back as lexical_index."""
         return lexical.postings(self.table.select(self.id.cast("string").alias("source_id"), self.text.alias("text")))
 
-    # ---- rankers
+    def indexed(self, path: str) -> TableSource:
+        """This source with its postings written to path, in the order of their lexemes: a query reads the parts of
+        the files that hold its own lexemes."""
+        postings = self.build_index().repartitionByRange("lex", "source_id").sortWithinPartitions("lex", "source_id", "word")
+        postings.write.parquet(path)
+        return replace(self, lexical_index=self.table.sparkSession.read.schema(postings.schema).parquet(path))
 
-    def _postings(self, p: Params) -> DataFrame:
+    def _postings(self, p: Params, terms: lexical.Terms) -> DataFrame:
         if self.lexical_index is None:
-            return lexical.postings(self.filtered(p).select(self.id.cast("string").alias("source_id"), self.text.alias("text")))
-        ids = self.filtered(p).select(self.id.cast("string").alias("source_id"))
-        return self.lexical_index.join(ids, "source_id", "left_semi")
+            return lexical.postings(self.ids(p, text=True))
+        wanted = self.lexical_index.where(F.col("lex").isin(terms.words())) if terms.few else self.lexical_index
+        return wanted.join(self.ids(p), "source_id", "left_semi") if self._predicated(p) else wanted
 
-    def matches(self, p: Params, queries: DataFrame | lexical.Terms) -> DataFrame:
-        return lexical.matches(self._postings(p), lexical.query_terms(queries))
+    def matches(self, p: Params, queries: DataFrame | list[tuple[int, str]] | lexical.Terms) -> DataFrame:
+        terms = lexical.query_terms(self.table.sparkSession, queries)
+        if terms.few and self.lexical_index is None:
+            return lexical.scored(self.ids(p, text=True), terms, [])
+        return lexical.matches(self._postings(p, terms), terms)
 
-    def lexical(self, p: Params, queries: DataFrame | lexical.Terms, cascade: bool = False, ranker: str = LEXICAL, input_ord: int = 0) -> DataFrame:
+    def lexical(self, p: Params, queries: DataFrame | list[tuple[int, str]] | lexical.Terms, cascade: bool = False, ranker: str = LEXICAL, input_ord: int = 0) -> DataFrame:
         """A term listing of at most p.limit rows of each query; cascade widens thin ones."""
-        terms = lexical.query_terms(queries)
-        found = self.matches(p, terms)
-        if p.lexical_mode == "coverage-graded":
-            hits = lexical.match_graded(found, p.limit, p.anchor_df_budget).withColumn("appended", F.lit(False))
+        found = self.matches(p, queries)
+        if cascade and p.lexical_mode is None:
+            hits = lexical.widened(found, p.limit, p.anchor_df_budget)
         else:
-            hits = lexical.match_all(found, p.limit)
-            hits = lexical.cascade(hits, lexical.match_graded(found, p.limit, p.anchor_df_budget), p.limit, terms) if cascade else hits.withColumn("appended", F.lit(False))
-        return self._listing(terms.bounded(hits.select("query_id", "source_id", "score", "pos", "appended"), p.limit), p, ranker, input_ord)
+            graded = p.lexical_mode == "coverage-graded"
+            hits = (lexical.match_graded(found, p.limit, p.anchor_df_budget) if graded else lexical.match_all(found, p.limit)).withColumn("appended", F.lit(False))
+        return self._listing(hits, ranker, input_ord)
 
     def embedding(self, p: Params, queries: list[tuple[int, list[float]]], input_ord: int = 0) -> DataFrame:
         """The p.limit most similar rows of each query vector."""
         if self.vectors is None:
             raise LookupError(f"{self.name} has no vectors")
-        ids = self.filtered(p).select(self.id.cast("string").alias("source_id"))
-        hits = vector.nearest(self.vectors.join(ids, "source_id", "left_semi"), queries, p.limit)
-        few = len(queries) * p.limit <= lexical.BROADCAST_ROWS
-        hits = hits.withColumn("appended", F.lit(False))
-        return self._listing(F.broadcast(hits) if few else hits, p, EMBEDDINGS, input_ord)
-
-    def _listing(self, hits: DataFrame, p: Params, ranker: str, input_ord: int) -> DataFrame:
-        """Hits with the table's columns.  Hits that are few by construction are marked for broadcast: the table is then
-        read once and not shuffled."""
-        out = hits.join(self.rows(p).select(*ROW), "source_id")
+        hits = vector.nearest(self.vectors.join(self.ids(p), "source_id", "left_semi"), queries, p.limit)
+        return self._listing(hits.withColumn("appended", F.lit(False)), EMBEDDINGS, input_ord)
+
+    def _listing(self, hits: DataFrame, ranker: str, input_ord: int) -> DataFrame:
         constant = {"source": F.lit(self.name), "key": F.concat(F.lit(f"{self.name}:"), F.col("source_id")), "ranker": F.lit(ranker), "input_ord": F.lit(input_ord)}
-        return out.withColumns(constant).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in LISTING), "appended")
+        return hits.withColumns(constant).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in LISTING))
+
+    # ---- columns of hits
+
+    def rows(self, p: Params) -> DataFrame:
+        """Columns of ROW of the whole table, and highlight unless the request leaves it to `highlights`."""
+        null = lambda kind: F.lit(None).cast(kind)
+        meta = F.map_from_arrays(F.array(*(F.lit(k) for k in self.meta)), F.array(*(c.cast("string") for c in self.meta.values()))) if self.meta else null(ROW["meta"])
+        given = {"source_id": self.id, "ts_ms": self.ts_ms, "scope": self.scope, "excerpt": excerpt(self.text), "rerank_score": self.rerank_score, "meta": meta}
+        shown = F.lit("") if p.want_highlight is False else headline(self.text, p.words)
+        return self.table.select(*((c.cast(ROW[n]) if c is not None else null(ROW[n])).alias(n) for n, c in given.items()), shown.alias("highlight"))
+
+    def attached(self, hits: DataFrame, p: Params, small: bool) -> DataFrame:
+        """Hits of this source (source_id and any other columns) with the columns of rows(): one pass over the table, which
+        isn't shuffled if the hits are few (small)."""
+        return self.rows(p).join(F.broadcast(hits) if small else hits, "source_id")
 
     def highlights(self, ids: DataFrame, words: list[str]) -> DataFrame:
         """source_id and highlight for the ids of a page (source_id; a page is small), in one pass over the table."""

@@ -1,4 +1,4 @@
-"""Health of the search legs: a bounded ring of samples in the driver, and the same measure over streams."""
+"""Health of the legs: a bounded ring of samples in the driver, and the same measure over streams."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.legs import SearchLegs
+from ..plans.legs import Legs
 
 CAPACITY = 512
 HOUR_MS = 3_600_000
@@ -20,8 +20,8 @@ HOUR_MS = 3_600_000
 class LegSample:
     at_ms: int
     degraded: bool
-    lexical_errored: bool
-    semantic_errored: bool
+    lexical_blocked: bool
+    semantic_blocked: bool
     lexical_empty: bool
     semantic_empty: bool
 
@@ -34,8 +34,8 @@ class LegHealth:
     window_ms: int
     samples: int
     degraded: int
-    lexical_errored: int
-    semantic_errored: int
+    lexical_blocked: int
+    semantic_blocked: int
     lexical_empty: int
     semantic_empty: int
     degraded_rate: float | None
@@ -44,11 +44,11 @@ class LegHealth:
     truncated: bool
 
 
-def sample_of_legs(legs: SearchLegs, at_ms: int) -> LegSample:
-    """A leg counts as empty only if both legs ran and the other one brought rows."""
+def sample_of_legs(legs: Legs, at_ms: int) -> LegSample:
+    """A leg that could not be attempted is blocked; one counts as empty only if both ran and the other brought rows."""
     a, b = legs.lexical, legs.semantic
     ran = a.status == "ran" and b.status == "ran"
-    return LegSample(at_ms, legs.degraded, a.status == "errored", b.status == "errored", ran and not a.candidates and b.candidates > 0, ran and not b.candidates and a.candidates > 0)
+    return LegSample(at_ms, legs.degraded, a.blocked is not None, b.blocked is not None, ran and not a.candidates and b.candidates > 0, ran and not b.candidates and a.candidates > 0)
 
 
 def summarise_leg_samples(samples: list[LegSample], window_ms: int, now_ms: int, capacity: int = CAPACITY) -> LegHealth:
@@ -58,7 +58,7 @@ def summarise_leg_samples(samples: list[LegSample], window_ms: int, now_ms: int,
     count = lambda name: sum(getattr(s, name) for s in inside)
     oldest, newest = (min(s.at_ms for s in inside), max(s.at_ms for s in inside)) if n else (None, None)
     truncated = n == len(samples) >= capacity and begin < (oldest or 0)
-    return LegHealth(window_ms, n, count("degraded"), count("lexical_errored"), count("semantic_errored"), count("lexical_empty"), count("semantic_empty"), count("degraded") / n if n else None, oldest, newest, truncated)
+    return LegHealth(window_ms, n, count("degraded"), count("lexical_blocked"), count("semantic_blocked"), count("lexical_empty"), count("semantic_empty"), count("degraded") / n if n else None, oldest, newest, truncated)
 
 
 class LegHealthRing:
@@ -66,7 +66,7 @@ class LegHealthRing:
         self._samples: deque[LegSample] = deque(maxlen=capacity)
         self._seen, self._lock, self.capacity = 0, threading.Lock(), capacity
 
-    def observe(self, legs: SearchLegs, at_ms: int | None = None) -> SearchLegs:
+    def observe(self, legs: Legs, at_ms: int | None = None) -> Legs:
         """Adds a sample and returns its argument; never raises."""
         try:
             sample = sample_of_legs(legs, int(time.time() * 1000) if at_ms is None else at_ms)
@@ -101,7 +101,7 @@ def leg_health_observed_count() -> int:
     return _ring.observed
 
 
-FLAGS = ("degraded", "lexical_errored", "semantic_errored", "lexical_empty", "semantic_empty")
+FLAGS = ("degraded", "lexical_blocked", "semantic_blocked", "lexical_empty", "semantic_empty")
 
 
 def _counts() -> list:

@@ -51,7 +51,7 @@ def test_fusion_sums_ranks_and_breaks_ties_by_input_order(spark):
     rows = fusion.fuse([a, b]).orderBy("pos").collect()
     assert [r["source_id"] for r in rows] == ["1", "3", "2"]
     assert rows[0]["score"] == pytest.approx(1 / 61 + 1 / 62) and rows[0]["rankers"] == ["lexical", "embeddings"]
-    assert rows[0]["ranker_scores"] == {"lexical": 9.0, "embeddings": 0.6} and rows[0]["meta"] == {"g": "1"}
+    assert rows[0]["ranker_scores"] == {"lexical": 9.0, "embeddings": 0.6} and rows[0]["source"] == "s"
     tied = fusion.fuse([listing(spark, [("x", 0.1)]), listing(spark, [("y", 99)], "embeddings", 2)])
     assert ids(tied) == ["x", "y"]  # native scores don't count
 
@@ -139,19 +139,35 @@ def brute(words, terms):
     return round(sum(1.0 if q - p + 1 <= 16 else 16 / (q - p + 1) for p, q in minimal), 6)
 
 
-def found(spark, texts, query):
+def found(spark, texts, query, rowwise=False):
     rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "source_id string, text string")
-    return lexical.matches(lexical.postings(rows), lexical.query_terms(spark.createDataFrame([(0, query)], "query_id long, text string")))
+    terms = lexical.query_terms(spark, spark.createDataFrame([(0, query)], "query_id long, text string"))
+    return lexical.scored(rows, terms, []) if rowwise else lexical.matches(lexical.postings(rows), terms)
 
 
-def test_cover_density_equals_an_enumeration_of_spans(spark):
+@pytest.mark.parametrize("rowwise", [False, True])
+def test_cover_density_equals_an_enumeration_of_spans(spark, rowwise):
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(1, 60))) for _ in range(60)]
-    got = {r["source_id"]: (r["coverage"], r["score"]) for r in found(spark, texts, "a B c").collect()}
+    got = {r["source_id"]: (r["coverage"], r["score"]) for r in found(spark, texts, "a B c", rowwise).collect()}
     want = {str(i): (len({*t.split()} & {*"abc"}), brute(t.split(), "abc")) for i, t in enumerate(texts) if {*t.split()} & {*"abc"}}
     assert got == want
 
 
+def test_both_plans_match_a_batch_alike(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(str(i), " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))) for i in range(50)] + [("n", None)], "source_id string, text string")
+    batch = [(1, "a b"), (2, "b B h"), (3, "z"), (4, "!!"), (7, "h g f e")]
+    terms = lexical.query_terms(spark, batch)
+    one, two = lexical.scored(rows, terms, []), lexical.matches(lexical.postings(rows), terms)
+    shown = lambda df: sorted((r["query_id"], r["source_id"], r["n_terms"], sorted(r["terms"]), r["coverage"], r["score"]) for r in df.collect())
+    assert shown(one) == shown(two) and {r[0] for r in shown(one)} == {1, 2, 7}
+    for cap in (1, 4, 60):
+        chained = lexical.cascade(lexical.match_all(one, cap), lexical.match_graded(one, cap), cap, terms)
+        columns = ["query_id", "source_id", "pos", "appended"]
+        assert sorted(chained.select(columns).collect()) == sorted(lexical.widened(one, cap).select(columns).collect())
+
+
 def test_graded_match_starts_with_every_full_match(spark):
     texts = ["a a a b", "a x x b", "a c", "b c", "c c c c", "a b c", "q"]
     m = found(spark, texts, "a b c")
@@ -181,7 +197,18 @@ def test_vectors_of_other_lengths_are_no_candidates(spark):
 
 
 def test_text_and_time_helpers(spark):
-    row = spark.createDataFrame([("The cat, the CAT's Étude x2",)], "t string").select(X.lexemes(F.col("t")).alias("l"), X.headline(F.col("t"), ["cat"]).alias("h")).first()
+    row = spark.createDataFrame([("The cat, the CAT's Étude x2", [1.0, 0.5])], "t string, v array<double>").select(X.lexemes(F.col("t")).alias("l"), X.headline(F.col("t"), ["cat"]).alias("h"), X.vector_literal(F.col("v")).alias("v")).first()
     assert row["l"] == ["the", "cat", "the", "cat", "s", "étude", "x2"] and row["h"].count("<mark>") == 2
-    assert X.query_lexemes("The the CAT") == ["the", "cat"] and X.vector_literal([1, 0.5]) == "[1.0,0.5]"
+    assert X.query_lexemes("The the CAT") == ["the", "cat"] and row["v"] == "[1.0,0.5]"
     assert to_millis("1970-01-01T00:00:01Z") == 1000 and to_millis("nonsense") is None and to_millis(math.inf) is None and to_millis(5) == 5
+
+
+def test_headlines_are_taken_from_the_whole_document(spark):
+    far = "filler " * 2000 + "then the ÉTUDE begins, étude and études " + "tail " * 100
+    texts = ["no match here " * 40, far, "étude", None, "", "straße x", "x" * 500 + " cat " + "y" * 500, "cat cat,cat", "concatenate cats"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r["i"]: r["h"] for r in df.select("i", X.headline(F.col("t"), ["étude", "straße", "cat"]).alias("h")).collect()}
+    assert got[0] == texts[0][:200] and got[3] is None and got[4] == ""
+    assert "the <mark>ÉTUDE</mark> begins, <mark>étude</mark> and études tail" in got[1] and got[1].startswith(" filler") and len(got[1]) <= 226
+    assert got[2] == "<mark>étude</mark>" and got[5] == "<mark>straße</mark> x" and got[6] == " <mark>cat</mark> "
+    assert got[7] == "<mark>cat</mark> <mark>cat</mark>,<mark>cat</mark>" and got[8] == texts[8]

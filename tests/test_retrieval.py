@@ -6,8 +6,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from rankweave.operators import lexical
 from rankweave.plans import legs as L
-from rankweave.plans import policy, search
+from rankweave.plans import policy, retrieval
 from rankweave.plans.embedding import EmbedTimeoutError, Embedding
 from rankweave.schema import Aborted, Filters, Recency, Request, Signal
 from rankweave.sources.tables import TableSource
@@ -29,7 +30,7 @@ def notes(spark):
 
 @pytest.fixture(autouse=True)
 def clean():
-    policy.reset_search_defaults()
+    policy.reset_defaults()
     health.reset_leg_health()
 
 
@@ -53,38 +54,38 @@ def ids(result):
 
 
 def test_full_text_ranks_by_native_score_and_counts_before_the_cut(spark, notes):
-    r = search.run_full_text_search(spark, [notes], Request(query="red fox", limit=1, lexical_cascade=False))
+    r = retrieval.run_full_text(spark, [notes], Request(query="red fox", limit=1, lexical_cascade=False))
     assert ids(r) == ["2"] or ids(r) == ["1"]
-    wide = search.run_full_text_search(spark, [notes], Request(query="red fox runs", limit=5))
+    wide = retrieval.run_full_text(spark, [notes], Request(query="red fox runs", limit=5))
     rows = wide.hits.orderBy("pos").collect()
     assert {x["source_id"] for x in rows} == {"1", "2"} and wide.total_hits == 2 and wide.legs.lexical.stage2_added == 1
     assert max(x["highlight"].count("<mark>") for x in rows) == 3 and wide.legs.semantic.status == "not-run"
-    assert wide.applied == {"min_score": False, "recency": False} and not wide.legs.degraded
+    assert wide.applied == policy.Applied() and not wide.legs.degraded
 
 
 def test_same_id_in_two_sources_is_two_rows(spark, notes):
     twin = TableSource("twin", notes.table, notes.id, notes.text)
-    r = search.run_full_text_search(spark, [notes, twin], Request(query="house", limit=5))
+    r = retrieval.run_full_text(spark, [notes, twin], Request(query="house", limit=5))
     assert [(x["source"], x["source_id"]) for x in r.hits.orderBy("pos").collect()] == [("notes", "3"), ("twin", "3")]
 
 
 def test_filters_that_a_source_lacks_are_ignored(spark, notes):
     f = Filters(owners=("b",), speaker="me", session_id="s", source_kind="k", since=NOW - DAY, until=NOW)
-    r = search.run_full_text_search(spark, [notes], Request(query="fox", limit=5, filters=f))
+    r = retrieval.run_full_text(spark, [notes], Request(query="fox", limit=5, filters=f))
     assert ids(r) == ["4"]
-    assert ids(search.run_full_text_search(spark, [notes], Request(query="fox", limit=5, scope="a", workspace_id="w"))) == ["1", "2"]
+    assert ids(retrieval.run_full_text(spark, [notes], Request(query="fox", limit=5, scope="a", workspace_id="w"))) == ["1", "2"]
 
 
 def test_hybrid_fuses_both_rankers(spark, notes):
-    r = search.run_hybrid_search(spark, [notes], Request(query="red fox", limit=3, embedder=lambda _: [1.0, 0.0], min_score={"embeddings": 0.5}, group_by=F.col("meta")["owner"]))
+    r = retrieval.run_hybrid(spark, [notes], Request(query="red fox", limit=3, embedder=lambda _: [1.0, 0.0], min_score={"embeddings": 0.5}, group_by=F.col("meta")["owner"]))
     rows = r.hits.orderBy("pos").collect()
     assert rows[0]["source_id"] == "1" and rows[0]["rankers"] == ["lexical", "embeddings"] and rows[0]["ranker_scores"]["embeddings"] == 1.0
     assert r.embedder_available and r.legs.semantic.floored == 1 and r.legs.semantic.candidates == 2 and r.total_groups == 2 and len(rows) == 2
-    assert r.applied == {"min_score": True, "recency": False} and health.leg_health_observed_count() == 1
+    assert r.applied == policy.Applied({"embeddings": 0.5}) and health.leg_health_observed_count() == 1
 
 
 def test_embeddings_mode_without_a_vector_is_empty_and_healthy(spark, notes):
-    r = search.run_hybrid_search(spark, [notes], Request(query="red", mode="embeddings"))
+    r = retrieval.run_hybrid(spark, [notes], Request(query="red", mode="embeddings"))
     assert ids(r) == [] and r.total_hits == 0 and not r.legs.degraded and r.embedder_available is False
 
 
@@ -93,35 +94,108 @@ def test_recency_and_the_fresh_leg_lift_a_starved_row(spark):
     table = spark.createDataFrame(rows, "id long, body string, at long")
     source = TableSource("t", table, F.col("id"), F.col("body"), ts_ms=F.col("at"))
     base = dict(query="red", limit=2, lexical_cascade=False)
-    without = search.run_hybrid_search(spark, [source], Request(**base, recency=Recency(DAY, 0.3, now_ms=NOW)))
-    fresh = search.run_hybrid_search(spark, [source], Request(**base, recency=Recency(DAY, 0.3, fresh_window_ms=2 * DAY, now_ms=NOW)))
-    assert "9" not in ids(without) and ids(fresh)[0] == "9" and fresh.applied["recency"]
+    without = retrieval.run_hybrid(spark, [source], Request(**base, recency=Recency(DAY, 0.3, now_ms=NOW)))
+    fresh = retrieval.run_hybrid(spark, [source], Request(**base, recency=Recency(DAY, 0.3, fresh_window_ms=2 * DAY, now_ms=NOW)))
+    assert "9" not in ids(without) and ids(fresh)[0] == "9" and fresh.applied.recency
 
 
 def test_a_broken_source_degrades_and_the_others_go_on(spark, notes):
     said = []
-    r = search.run_hybrid_search(spark, [broken(notes), notes], Request(query="red fox", limit=3, embedder=lambda _: [1.0, 0.0], log=said.append))
+    r = retrieval.run_hybrid(spark, [broken(notes), notes], Request(query="red fox", limit=3, embedder=lambda _: [1.0, 0.0], log=said.append, defer_highlight=True))
     assert ids(r)[0] == "1" and r.legs.degraded and r.legs.lexical.calls_failed == 1 and "bad (no index here)" in r.legs.warning
     assert any("headlines" in m for m in said)
-    alone = search.run_full_text_search(spark, [broken(notes)], Request(query="red"))
+    alone = retrieval.run_full_text(spark, [broken(notes)], Request(query="red"))
     assert alone.legs.lexical.status == "errored" and "every lexical source call failed" in alone.legs.warning
 
 
-def test_failures_at_run_time_are_caught_if_legs_are_materialized(spark, notes):
+def test_failures_at_run_time_degrade_by_default(spark, notes):
     bad = notes.table.withColumn("body", F.when(F.col("id") > 0, F.raise_error(F.lit("boom"))).otherwise(F.col("body")))
     source = TableSource("late", bad, F.col("id"), F.col("body"))
-    r = search.run_full_text_search(spark, [source, notes], Request(query="house", materialize_legs=True))
-    assert ids(r) == ["3"] and r.legs.lexical.calls_failed == 1
+    r = retrieval.run_full_text(spark, [source, notes], Request(query="house"))
+    assert ids(r) == ["3"] and r.legs.lexical.calls_failed == 1 and "boom" in r.legs.warning
+    with pytest.raises(Exception, match="boom"):
+        retrieval.run_full_text(spark, [source, notes], Request(query="house", materialize_legs=False))
+
+
+def test_a_fresh_call_counts_as_run(spark, notes):
+    class Main(TableSource):
+        def lexical(self, p, queries, cascade=False, ranker="lexical", input_ord=0):
+            if ranker == "lexical":
+                raise RuntimeError("main is away")
+            return super().lexical(p, queries, cascade, ranker, input_ord)
+
+    source = Main("half", notes.table, notes.id, notes.text, ts_ms=notes.ts_ms)
+    r = retrieval.run_hybrid(spark, [source], Request(query="fox", limit=4, recency=Recency(DAY, 0.3, fresh_window_ms=2 * DAY, now_ms=NOW)))
+    assert (r.legs.lexical.status, r.legs.lexical.calls_run, r.legs.lexical.calls_failed) == ("ran", 1, 1) and ids(r) == ["4"]
+    whole = retrieval.run_hybrid(spark, [notes], Request(query="fox", limit=4, recency=Recency(DAY, 0.3, fresh_window_ms=2 * DAY, now_ms=NOW)))
+    assert whole.legs.lexical.calls_run == 2
+
+
+def test_the_embedder_runs_beside_the_term_legs(spark, notes):
+    looked = threading.Event()
+
+    class Seen(TableSource):
+        def matches(self, p, queries):
+            looked.set()
+            return super().matches(p, queries)
+
+    source = Seen("notes", notes.table, notes.id, notes.text, vectors=notes.vectors)
+    r = retrieval.run_hybrid(spark, [source], Request(query="red fox", embedder=lambda _: [1.0, 0.0] if looked.wait(60) else []))
+    assert r.embedder_available and r.legs.semantic.candidates == 3  # in turn, the embedder would have waited in vain
+
+
+def test_headlines_at_once_or_for_the_page_only(spark, notes):
+    asked = []
+
+    class Counting(TableSource):
+        def rows(self, p):
+            asked.append(p.want_highlight)
+            return super().rows(p)
+
+        def highlights(self, ids, words):
+            asked.append("page")
+            return super().highlights(ids, words)
+
+    def of(**options):
+        return Counting("notes", notes.table, notes.id, notes.text, **options)
+
+    shown = {}
+    for defer in (False, True):
+        r = retrieval.run_full_text(spark, [of()], Request(query="red fox", limit=2, defer_highlight=defer))
+        shown[defer] = {x["source_id"]: x["highlight"] for x in r.hits.collect()}
+    assert shown[False] == shown[True] and all("<mark>" in h for h in shown[True].values())
+    assert asked == [None, False, "page"]
+    asked.clear()
+    r = retrieval.run_hybrid(spark, [of(hydrates=False)], Request(query="red fox", limit=2, defer_highlight=True))
+    assert asked == [None] and all("<mark>" in x["highlight"] for x in r.hits.collect())  # can't give them later: gave them at once
+    kept = retrieval.run_full_text(spark, [of(), broken(notes)], Request(query="zzz red", limit=2, defer_highlight=True, lexical_mode="and"))
+    assert ids(kept) == []
+
+
+def test_no_sources_and_a_mode_that_is_the_default(spark, notes):
+    for run in (retrieval.run_full_text, retrieval.run_hybrid):
+        r = run(spark, [], Request(query="red"))
+        assert r.hits.collect() == [] and r.total_hits == 0 and not r.legs.degraded and r.legs.lexical.status == "not-run"
+    assert Request(query="q", lexical_mode="and").params(1).lexical_mode is None
+    r = retrieval.run_full_text(spark, [notes], Request(query="red fox runs", lexical_mode="and"))
+    assert ids(r) == ["1"] and r.legs.lexical.stage2_added == 0  # a caller's mode turns the widening off
+
+
+def test_health_samples_what_was_blocked(spark, notes):
+    failed = L.summarise_legs(leg(attempted=True, calls_failed=1, failures=[("s", "e")]), leg(attempted=True, calls_run=1, candidates=2))
+    sample = health.sample_of_legs(failed, NOW)
+    assert failed.lexical.status == "errored" and sample.degraded and not sample.lexical_blocked and not sample.lexical_empty
+    assert health.sample_of_legs(L.summarise_legs(leg(), leg(attempted=True, blocked="late")), NOW).semantic_blocked
 
 
 def test_a_failed_embedding_blocks_only_the_semantic_leg(spark, notes):
     def fails(_):
         raise RuntimeError("model is away")
 
-    r = search.run_hybrid_search(spark, [notes], Request(query="red fox", limit=2, embedder=fails))
+    r = retrieval.run_hybrid(spark, [notes], Request(query="red fox", limit=2, embedder=fails))
     assert r.legs.semantic.blocked == "query embed failed: model is away" and r.legs.semantic.status == "errored" and ids(r)
     assert "semantic leg blocked" in r.legs.warning and not r.embedder_available
-    slow = search.run_hybrid_search(spark, [notes], Request(query="red fox", limit=2, embedder=lambda _: time.sleep(60), embed_timeout_ms=1))
+    slow = retrieval.run_hybrid(spark, [notes], Request(query="red fox", limit=2, embedder=lambda _: time.sleep(60), embed_timeout_ms=1))
     assert "exceeded 1ms budget" in slow.legs.semantic.blocked
 
 
@@ -139,27 +213,27 @@ def test_embedding_budget_starts_at_once_and_zero_is_unbounded():
 def test_abort_never_gives_a_partial_result(spark, notes):
     signal = Signal()
     signal.abort()
-    for run in (search.run_full_text_search, search.run_hybrid_search):
+    for run in (retrieval.run_full_text, retrieval.run_hybrid):
         with pytest.raises(Aborted):
             run(spark, [notes], Request(query="red", signal=signal))
     late = Signal()
     threading.Timer(0.2, late.abort).start()
     with pytest.raises(Aborted):
-        search.run_hybrid_search(spark, [notes], Request(query="red", signal=late, embedder=lambda _: time.sleep(30)))
+        retrieval.run_hybrid(spark, [notes], Request(query="red", signal=late, embedder=lambda _: time.sleep(30)))
 
 
 def test_policy_gives_way_to_values_and_to_off(spark, notes):
     seen = []
     embedder = lambda _: [1.0, 0.0]
-    policy.configure_search_defaults(policy.SearchDefaults(min_score=lambda c: seen.append(c) or {"embeddings": 0.9}))
+    policy.configure_defaults(policy.Defaults(min_score=lambda c: seen.append(c) or {"embeddings": 0.9}))
     base = dict(query="zzz", limit=5, embedder=embedder)
-    assert ids(search.run_hybrid_search(spark, [notes], Request(**base))) == ["1"]
+    assert ids(retrieval.run_hybrid(spark, [notes], Request(**base))) == ["1"]
     assert seen[0].embedder is embedder and (seen[0].mode, seen[0].limit) == ("hybrid", 5)
-    assert len(ids(search.run_hybrid_search(spark, [notes], Request(**base, min_score=False)))) == 3
-    assert len(ids(search.run_hybrid_search(spark, [notes], Request(**base, min_score={"embeddings": 0.5})))) == 2
-    policy.configure_search_defaults(policy.SearchDefaults(recency=lambda c: 1 / 0))
-    assert policy.search_defaults_host().min_score is None  # replaced, not merged
-    assert search.run_hybrid_search(spark, [notes], Request(**base)).applied == {"min_score": False, "recency": False}
+    assert len(ids(retrieval.run_hybrid(spark, [notes], Request(**base, min_score=False)))) == 3
+    assert len(ids(retrieval.run_hybrid(spark, [notes], Request(**base, min_score={"embeddings": 0.5})))) == 2
+    policy.configure_defaults(policy.Defaults(recency=lambda c: 1 / 0))
+    assert policy.defaults_host().min_score is None  # replaced, not merged
+    assert retrieval.run_hybrid(spark, [notes], Request(**base)).applied == policy.Applied(policy_registered=True)
 
 
 def leg(**k):
@@ -198,7 +272,7 @@ def test_health_ring():
 
 def test_health_of_a_stream_equals_that_of_the_table(spark, tmp_path):
     rows = [(NOW + i * 60_000, i % 3 == 0, False, i % 5 == 0, False, False) for i in range(200)]
-    table = spark.createDataFrame(rows, "at_ms long, degraded boolean, lexical_errored boolean, semantic_errored boolean, lexical_empty boolean, semantic_empty boolean").withColumn("at", F.timestamp_millis("at_ms"))
+    table = spark.createDataFrame(rows, "at_ms long, degraded boolean, lexical_blocked boolean, semantic_blocked boolean, lexical_empty boolean, semantic_empty boolean").withColumn("at", F.timestamp_millis("at_ms"))
     table.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
     out = health.windowed_health(stream, "1 hour", "30 minutes")
@@ -210,8 +284,10 @@ def test_health_of_a_stream_equals_that_of_the_table(spark, tmp_path):
     assert health.trailing_health(table, 1, NOW - DAY).first()["degraded_rate"] is None
 
 
-def test_index_of_postings_gives_the_same_listing(spark, notes):
-    indexed = TableSource("notes", notes.table, notes.id, notes.text, owner=notes.owner, lexical_index=notes.build_index().cache())
+def test_index_of_postings_gives_the_same_listing(spark, notes, tmp_path):
+    indexed = TableSource("notes", notes.table, notes.id, notes.text, owner=notes.owner).indexed(str(tmp_path / "index"))
+    read = indexed._postings(Request(query="red fox").params(1), lexical.query_terms(spark, [(0, "red fox")]))
+    assert "In(lex, [fox,red])" in read._jdf.queryExecution().executedPlan().toString()  # pushed down to the files
     plain = TableSource("notes", notes.table, notes.id, notes.text, owner=notes.owner)
     request = Request(query="red fox", limit=5, filters=Filters(owners=("a",)))
-    assert ids(search.run_full_text_search(spark, [indexed], request)) == ids(search.run_full_text_search(spark, [plain], request))
+    assert ids(retrieval.run_full_text(spark, [indexed], request)) == ids(retrieval.run_full_text(spark, [plain], request))
