@@ -8,13 +8,9 @@ bucket one entry per block.
 
 from __future__ import annotations
 
-import atexit
 import math
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager, suppress
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import removed, scratch  # noqa: F401
+
 U = np.uint64
 #: Odd multipliers of the two rolling hashes, and the constants that scramble a finished hash.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -34,38 +32,11 @@ BLOCK = "__block__"
 #: An estimate that the optimizer makes up for tables without files, at least; and input for a partition, at most.
 UNKNOWN_BYTES, PARTITION_BYTES = 1 << 50, 64 << 20
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_LOCAL: dict[str, str] = {}
-_OWN: set[str] = set()
 
 
 # ---------------------------------------------------------------- storage
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder, in one for each application that goes when Python exits.
-
-    Only a local master may do without the setting; elsewhere a folder of one machine would lose what the others write.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^-]*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
-        base = _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}")
-    own = f"{base.rstrip('/')}/rankweave-{spark.sparkContext.applicationId}"
-    if own not in _OWN:
-        _OWN.add(own)
-        atexit.register(removed, spark, own)
-    return f"{own}/{uuid.uuid4().hex}"
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that scratch() named; what can't be deleted stays."""
-    with suppress(Exception):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """Sets a runtime setting for the time of a job, and puts the caller's back."""

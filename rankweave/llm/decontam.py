@@ -252,4 +252,5 @@ def without_hits(found: DataFrame) -> DataFrame:
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
+    """decontaminate() of documents by the whole benchmark."""
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -139,11 +139,14 @@ class Model:
         return lang.tolist(), np.clip(score, 0, 1)
 
 
-def _sample(labelled: DataFrame, per_language: int) -> list:
-    """About per_language texts of each language, chosen by a hash of the id: (lang, trigram codes, frequencies)."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+def _sample(labelled: DataFrame, per_language: int, most: int) -> list:
+    """About per_language texts of each language, chosen by a hash of the id, and about `most` in all: (lang, trigram
+    codes, frequencies).  Of more than `most` languages the most frequent ones are learned."""
+    frequent = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     if not counts:
         return []
+    per_language = max(1, min(per_language, most // len(counts)))
     share = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))))
     lot = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
 
@@ -154,14 +157,15 @@ def _sample(labelled: DataFrame, per_language: int) -> list:
                 rows = [(lang, np.flatnonzero(r).astype("<u2").tobytes(), r[r > 0].astype("<f4").tobytes()) for lang, r, ok in zip(b.column("lang").to_pylist(), x, letter, strict=True) if ok]
                 yield pa.record_batch({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate((("lang", pa.string()), ("code", pa.binary()), ("value", pa.binary())))})
 
-    return labelled.where(lot < share[F.col("lang")]).select("text", "lang").mapInArrow(run, "lang string, code binary, value binary").collect()
+    return labelled.where(F.coalesce(lot < share[F.col("lang")], F.lit(False))).select("text", "lang").mapInArrow(run, "lang string, code binary, value binary").collect()
 
 
-def train(labelled: DataFrame, per_language: int = 400) -> Model | None:
-    """A model of labelled texts (doc_id, text, lang).  per_language bounds the sample that is fitted on; the rows that
-    reach the driver are trigram frequencies.  None if no text with a letter has a language."""
+def train(labelled: DataFrame, per_language: int = 400, most: int = 8000) -> Model | None:
+    """A model of labelled texts (doc_id, text, lang).  per_language and most, about, bound the sample that is fitted on
+    (400 texts a language, 8000 in all); the rows that reach the driver are trigram frequencies.  None if no text with a
+    letter has a language."""
     B.small_batches(labelled.sparkSession)
-    rows = _sample(labelled.where("lang is not null and text is not null and doc_id is not null"), per_language)
+    rows = _sample(labelled.where("lang is not null and text is not null and doc_id is not null"), per_language, most)
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["code"], r["value"]))
@@ -201,6 +205,7 @@ def held_out(doc_id="doc_id"):
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
+    """identify() of documents, by a model of those that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs, train(docs.where(~held_out()).select("doc_id", "text", "lang")))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

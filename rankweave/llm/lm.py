@@ -3,6 +3,7 @@
 The target model counts the target documents, the background model all documents; both have the same order, smoothing
 and vocabulary: all words of the documents, and one unknown word.  A document's score is the mean,
 over its words, of the target model's loss less the background model's: the lower, the more it is like the target.
+A document is scored by the counts of the others: its own are left out of both models.
 
 Counting and look-up are one exchange: a block sends each of its bigrams and words once with its counts, and gets the
 totals back in the same order.
@@ -165,7 +166,8 @@ class Local:
 
 
 def _requests(g: int, buckets: int, keys: Keys, t: pa.Table, target: np.ndarray) -> pa.Table:
-    """One row per bucket with a block's keys and their background and target counts."""
+    """One row per bucket with a block's keys and their background and target counts, and one that brings back which
+    rows are targets."""
     local = Local(keys, t["text"])
     every, some = local.counts(), local.counts(np.repeat(target, np.diff(local.bounds)))
     pairs, words = local.cuts(buckets)
@@ -175,13 +177,17 @@ def _requests(g: int, buckets: int, keys: Keys, t: pa.Table, target: np.ndarray)
         dest.append(b)
         counts = b"".join(_short(n[c], np.uint8) for counts in (every, some) for n, c in zip(counts, cut, strict=True))
         bodies.append(_coded(local.pairs[cut[0]]) + _coded(local.words[cut[1]]) + _zipped(counts))
-    return pa.table({"dest": pa.array(dest, pa.int64()), "src": pa.array([g] * len(bodies), pa.int64()), "kind": pa.array([B.ASK] * len(bodies), pa.int32()), "body": pa.array(bodies, pa.binary())})
+    kinds = [B.ASK] * len(bodies) + [B.STATE]
+    dest, bodies = [*dest, g % buckets], [*bodies, np.packbits(target).tobytes()]
+    return pa.table({"dest": pa.array(dest, pa.int64()), "src": pa.array([g] * len(bodies), pa.int64()), "kind": pa.array(kinds, pa.int32()), "body": pa.array(bodies, pa.binary())})
 
 
 def _totals(t: pa.Table) -> pa.Table:
     """Sums of a bucket's counts, sent back to every block that asked: background sums only where they aren't the block's own count."""
     runs, counts = ([], []), tuple([] for _ in range(6))
-    for body in t["body"].to_pylist():
+    asks, bodies = np.flatnonzero(t["kind"].to_numpy() == B.ASK).tolist(), t["body"].to_pylist()
+    for i in asks:
+        body = bodies[i]
         for run in runs:
             k, body = _decoded(body)
             run.append(k)
@@ -189,12 +195,12 @@ def _totals(t: pa.Table) -> pa.Table:
         for c in counts:
             n, body = _full(body, np.uint8)
             c.append(n)
-    replies = [b""] * len(t)
+    replies = [b""] * len(asks)
     solved = []
-    for run in runs:
+    for run in runs if asks else ():
         unique, back = np.unique(np.concatenate(run), return_inverse=True)
         solved.append((len(unique), back, np.r_[0, np.cumsum([len(k) for k in run])].tolist()))
-    for c, parts in enumerate(counts):
+    for c, parts in enumerate(counts if asks else ()):
         size, back, at = solved[min(c % 3, 1)]
         sums = np.bincount(back, np.concatenate(parts), size).astype(np.int64)
         for i, (own, a, z) in enumerate(zip(parts, at[:-1], at[1:], strict=True)):
@@ -205,15 +211,21 @@ def _totals(t: pa.Table) -> pa.Table:
                 replies[i] += B.pack(bits) + _short(total[other], np.uint16)
             else:
                 replies[i] += _short(total, np.uint8)
-    return pa.table({"g": t["src"].cast(pa.int64()), "dest": t["dest"].cast(pa.int64()), "kind": t["kind"].cast(pa.int32()), "body": pa.array(map(_zipped, replies), pa.binary())})
+    for i, reply in zip(asks, replies, strict=True):
+        bodies[i] = _zipped(reply)
+    return pa.table({"g": t["src"].cast(pa.int64()), "dest": t["dest"].cast(pa.int64()), "kind": t["kind"].cast(pa.int32()), "body": pa.array(bodies, pa.binary())})
 
 
-def _received(local: Local, buckets: int, t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Background and target totals of a block's keys, as Local.counts() has them."""
+def _received(local: Local, buckets: int, t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Background and target totals of a block's keys, as Local.counts() has them, and which rows are targets."""
+    target = np.zeros(len(local.bounds) - 1, bool)
     every = local.counts()
     some = [np.zeros_like(n) for n in every]
     pairs, words = local.cuts(buckets)
-    for b, body in zip(t["dest"].to_pylist(), t["body"].to_pylist(), strict=True):
+    for b, kind, body in zip(t["dest"].to_pylist(), t["kind"].to_pylist(), t["body"].to_pylist(), strict=True):
+        if kind == B.STATE:
+            target = np.unpackbits(np.frombuffer(body, np.uint8), count=len(target)).astype(bool)
+            continue
         body, cut = _unzipped(body), [slice(c[b], c[b + 1]) for c in (pairs, words, words)]
         for n, c in zip(every, cut, strict=True):
             (bits,) = B.unpack(body, np.uint8)
@@ -221,7 +233,21 @@ def _received(local: Local, buckets: int, t: pa.Table) -> tuple[list[np.ndarray]
             n[c][np.unpackbits(bits, count=c.stop - c.start).astype(bool)] = values
         for n, c in zip(some, cut, strict=True):
             n[c], body = _full(body, np.uint8)
-    return every, some
+    return every, some, target
+
+
+def _own(row: np.ndarray, key: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, key) pairs, as numbers in order, and how often each occurs."""
+    return np.unique(row * np.int64(max(keys, 1)) + key, return_counts=True)
+
+
+def _times(own: tuple[np.ndarray, np.ndarray], row: np.ndarray, key: np.ndarray, keys: int) -> np.ndarray:
+    """How often each (row, key) occurs, by what _own() has counted."""
+    if not len(own[0]):
+        return np.zeros(len(row), np.int64)
+    wanted = row * np.int64(max(keys, 1)) + key
+    at = np.minimum(np.searchsorted(own[0], wanted), len(own[0]) - 1)
+    return np.where(own[0][at] == wanted, own[1][at], 0)
 
 
 def losses(n: dict[str, np.ndarray], size: int, strength: float) -> np.ndarray:
@@ -230,13 +256,14 @@ def losses(n: dict[str, np.ndarray], size: int, strength: float) -> np.ndarray:
     return -np.log((n["pair"] + strength * alone) / (n["context"] + strength))
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, strength: float = 100.0, block_bytes: int = 1 << 20) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, strength: float = 100.0, block_bytes: int = 1 << 20, leave_out: bool = True) -> DataFrame:
     """Scores documents (doc_id, text; other columns are ignored): doc_id, n_words, loss_target, loss_background, score.
 
     target_ids (doc_id) names the target documents.  Losses are means over the words, in nats.  Texts without words, and
     null, have null losses and score.  A row without doc_id is background and is scored.  Repeated rows count, and are
     scored, each.  Without target documents the target model is the uniform one that its smoothing leaves.
-    All words are counted; `vocabulary` makes all but that many of the most frequent ones a single unknown word.
+    A row's own counts are left out of the models that score it, unless leave_out is False; those of a row that repeats
+    it stay.  All words are counted; `vocabulary` makes all but that many of the most frequent ones a single unknown word.
     """
     spark = docs.sparkSession
     B.small_batches(spark)
@@ -245,8 +272,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary:
     else:
         words = frequent_words(docs, vocabulary)
         keys = Keys(len(words) + 1, words)
-    n = B.partitions(spark)
-    blocks = max(n, -(-B.input_bytes(docs) // block_bytes))
+    n = B.spread(docs)
+    blocks = max(n, -(-B.input_bytes(docs) // max(block_bytes, 16 * n)))
     block = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(blocks))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).alias("g")
     dealt = docs.select(block, "doc_id", "text").repartition(n, "g")
     wanted = target_ids.select("doc_id").where("doc_id is not null").distinct().select(block_of_ids(blocks), "doc_id").repartition(n, "g")
@@ -263,8 +290,15 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary:
         local = Local(keys, t["text"])
         bounds = local.bounds
         size, loss = np.diff(bounds), []
-        for pairs, words, contexts in _received(local, buckets, replies):  # background, then target
-            each = losses({"pair": pairs[local.pair], "word": words[local.word], "context": contexts[local.context], "total": words[local.total]}, keys.size, strength)
+        every, some, target = _received(local, buckets, replies)
+        row = np.repeat(np.arange(len(size)), size)
+        own = {}
+        if leave_out:
+            m = len(local.words)
+            own = {"pair": _times(_own(row, local.pair, len(local.pairs)), row, local.pair, len(local.pairs)), "word": _times(_own(row, local.word, m), row, local.word, m), "context": _times(_own(row, local.context, m), row, local.context, m), "total": size[row]}
+        for (pairs, words, contexts), mine in ((every, np.ones(len(row), bool)), (some, target[row])):  # background, then target
+            n = {"pair": pairs[local.pair], "word": words[local.word], "context": contexts[local.context], "total": words[local.total]}
+            each = losses({k: v - own[k] * mine if own else v for k, v in n.items()}, keys.size, strength)
             sums = np.r_[0, np.cumsum(each)]
             loss.append((sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(size, 1))
         none = size == 0
@@ -281,5 +315,7 @@ def block_of_ids(blocks: int):
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """cross_entropy_difference() of documents; the target documents are those that labels call good (quality 1)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return cross_entropy_difference(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels.where("quality = 1"))
+    out = cross_entropy_difference(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels.where("quality = 1"))
+    return out.select("doc_id", "n_words", *(F.round(c, 8).alias(c) for c in ("loss_target", "loss_background", "score")))

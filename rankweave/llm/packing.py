@@ -172,5 +172,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: What a training sequence holds.  2048 tokens imply the other two: a piece has a token at least, and the squares of
+#: lengths add up to no more than the square of their sum.  plan() leaves out what can't bind.
+PRODUCTION = Capacity(tokens=2048, documents=2048, cost=2048 * 2048)
+
+
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file())
+    """pack_documents() of documents into sequences of at most 2048 tokens."""
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file(), PRODUCTION)

@@ -19,11 +19,13 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
-#: The others need a tokenizer, a classifier, a hash that SQL lacks, or word ids, or (op4) take too long in SQL: tests hold
-#: them against brute force.
+#: The others need a tokenizer (op3, op7), a classifier (op1) or a hash that SQL lacks (op8): tests hold them against
+#: brute force or, op1, against held-out documents.
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op4_suffix_array_dedup": oracles.SUFFIXES,
     "op5_substring_dedup": oracles.SUBSTRINGS,
     "op6_warc": oracles.ARCHIVES,
     "op9_exact_top_k": oracles.TOP_K,
+    "op10_lm_scoring": oracles.SCORES,
 }

@@ -106,5 +106,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, segments:
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates() of documents, with the fingerprint in hexadecimal digits."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -91,4 +91,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, block: int = 4 << 20) ->
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
+    """token_counts() of documents."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file())

@@ -136,5 +136,6 @@ def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
+    """archived() pages: a record for each row, read back by way of the index."""
     out = archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

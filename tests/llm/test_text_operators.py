@@ -184,7 +184,8 @@ def test_components_of_chains_and_stars(spark):
 # ---- language-model scores
 
 
-def test_cross_entropy_difference(spark, rows, docs, none):
+@pytest.mark.parametrize("leave_out", [True, False])
+def test_cross_entropy_difference(spark, rows, docs, none, leave_out):
     target = spark.createDataFrame([(1,), (2,), (2,), (None,), (999,)], "doc_id long")
     k, s = 6, 10.0
     words = [WORD.findall(lower(r[1])) for r in rows]
@@ -192,22 +193,23 @@ def test_cross_entropy_difference(spark, rows, docs, none):
     order = sorted(value, key=lambda w: (-sum(x.count(w) for x in words), np.uint64(value[w]).astype(np.int64)))
     known = set(order[:k])
 
-    def model(keep):
+    def model(keep, but=None):
         pair, word, context = Counter(), Counter(), Counter()
-        for r, w in zip(rows, words):
-            if keep(r[0]):
+        for i, (r, w) in enumerate(zip(rows, words)):
+            if keep(r[0]) and i != but:
                 seq = ["<s>", *(x if x in known else "<?>" for x in w)]
                 pair.update(zip(seq, seq[1:]))
                 word.update(seq[1:])
                 context.update(seq[:-1])
         return pair, word, context
 
-    models = model(lambda d: d in (1, 2)), model(lambda d: True)
-    got = sorted((str(r["doc_id"]), r["n_words"], r["loss_target"], r["loss_background"], r["score"]) for r in lm.cross_entropy_difference(docs, target, k, s, 2000).where("n_words > 0").collect())
+    kept = (lambda d: d in (1, 2)), (lambda d: True)
+    got = sorted((str(r["doc_id"]), r["n_words"], r["loss_target"], r["loss_background"], r["score"]) for r in lm.cross_entropy_difference(docs, target, k, s, 2000, leave_out).where("n_words > 0").collect())
     want = []
-    for r, w in zip(rows, words):
+    for i, (r, w) in enumerate(zip(rows, words)):
         seq, loss = ["<s>", *(x if x in known else "<?>" for x in w)], []
-        for pair, word, context in models:
+        for keep in kept:
+            pair, word, context = model(keep, i if leave_out else None)
             n = sum(word.values())
             loss.append(-sum(math.log((pair[a, b] + s * (word[b] + 1) / (n + k + 1)) / (context[a] + s)) for a, b in zip(seq, seq[1:])) / max(1, len(w)))
         if w:
@@ -229,10 +231,19 @@ def test_cross_entropy_difference_counts_rare_words(spark):
         seqs = [["<s>", *words[i]] for i in keep]
         models.append((Counter(p for x in seqs for p in zip(x, x[1:])), Counter(w for x in seqs for w in x[1:]), Counter(w for x in seqs for w in x[:-1])))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["loss_target"], r["loss_background"]) for r in lm.cross_entropy_difference(docs, target, block_bytes=2000).collect()}
+    got = {r["doc_id"]: (r["loss_target"], r["loss_background"]) for r in lm.cross_entropy_difference(docs, target, block_bytes=2000, leave_out=False).collect()}
     for i, w in enumerate(words):
         want = (None, None)
         if w:
             want = tuple(-sum(math.log((p[a, b] + 100 * (n[b] + 1) / (n.total() + len(vocabulary) + 1)) / (c[a] + 100)) for a, b in zip(["<s>", *w], w)) / len(w) for p, n, c in models)
         assert got[i] == pytest.approx(want, abs=1e-9)
     assert got[2][0] - got[2][1] < got[4][0] - got[4][1]
+
+
+def test_documents_that_occur_twice_stand_out(spark):
+    """Their words are known from the copy; those of a document that is alone in its words are not."""
+    texts = [" ".join(f"w{(i * 7919 + j * 104729) % 20011}" for j in range(80)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:5])), "doc_id long, text string")
+    got = {r["doc_id"]: r["loss_background"] for r in lm.cross_entropy_difference(docs, docs.limit(0).select("doc_id")).collect()}
+    twice = {*range(5), *range(40, 45)}
+    assert max(got[i] for i in twice) < min(got[i] for i in got if i not in twice)
