@@ -19,17 +19,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-_COVERED = """
-starts AS (SELECT doc_id, i, {window} AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
-firsts AS (SELECT s, min(doc_id) AS first FROM starts GROUP BY 1),
-hit AS (SELECT doc_id, i FROM starts JOIN firsts USING (s) WHERE first < doc_id),
-each AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
-marks AS (SELECT e.doc_id, e.p, e.w[e.p] AS x, h.p IS NOT NULL AS cut FROM each e LEFT JOIN (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit) h ON e.doc_id = h.doc_id AND e.p = h.p)"""
-
-SUBSTRINGS = f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),{_COVERED.format(window="array_to_string(w[i:i + 49], ' ')")},
-kept AS (SELECT doc_id, count(*) FILTER (WHERE cut) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY p) FILTER (WHERE NOT cut), '') AS k FROM marks GROUP BY 1)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+SUBSTRINGS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT r, doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+starts AS (SELECT r, doc_id, p, string_agg(x, ' ') OVER n AS s, count(*) OVER n AS n FROM words WINDOW n AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+firsts AS (SELECT s, min(doc_id) AS first FROM starts WHERE n = 50 GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT r, p FROM starts JOIN firsts USING (s) WHERE n = 50 AND first < doc_id),
+each AS (SELECT e.r, e.p, x, h.p IS NOT NULL AS hit FROM words e LEFT JOIN hit h ON e.r = h.r AND e.p = h.p),
+marks AS (SELECT r, p, x, bool_or(hit) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS cut FROM each),
+kept AS (SELECT r, count(*) FILTER (WHERE cut) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY p) FILTER (WHERE NOT cut), '') AS k FROM marks GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
 
 _NIBBLE = "(strpos('0123456789abcdef', substr(h, {at}, 1)) - 1)"
 _BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((" + _NIBBLE.format(at="1 + (5 * i) // 4") + " * 16 + " + _NIBBLE.format(at="2 + (5 * i) // 4") + ") >> (3 - (5 * i) % 4)) & 31), 1)), '')"
