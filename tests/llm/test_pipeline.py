@@ -1,13 +1,18 @@
 """The pipeline's stages one by one on planted rows, and the registry."""
 
 import random
+import re
+import zlib
+from collections import Counter
 
 import corpus_pipeline as C
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from rankweave.llm import blocks, similar
+from rankweave.llm import blocks, packing, similar
+from rankweave.llm.fasttok import tokenizer
 
 
 def test_stages_keep_clean_documents_and_take_effect(spark, tmp_path):
@@ -76,3 +81,128 @@ def test_long_documents_lose_benchmark_windows(spark, tmp_path, monkeypatch, blo
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in C.decontamination(spark, docs, str(tmp_path)).collect()}
     want = {1: f"{filler(3)} ", 2: f"{filler(1)}, {filler(2)}"}
     assert got == {0: (texts[0], 1), 4: (None, 1), **{i: (t, len(t)) for i, t in want.items()}}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def plainly(rows, items):
+    """The documents (doc_id, text) that the first four stages leave, by enumeration."""
+    docs = [r[:2] for r in rows if any(c.isalpha() for c in r[1] or "")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for _, t in docs for w in [re.findall("[^\x20\x09-\x0d]+", lower(t))]]
+    group = list(range(len(docs)))
+    while (after := [min(group[j] for j, y in enumerate(sets) if 5 * len(x & y) >= 4 * len(x | y)) for x in sets]) != group:
+        group = after
+    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0))
+    first = {}
+    for i in order:
+        first.setdefault(group[i], i)
+    docs = [docs[i] for i in first.values()]
+    starts = {}
+    for i, t in docs:
+        w = re.findall("[^\x20\x09-\x0d]+", t)
+        for j in range(len(w) - 49):
+            if i is not None:
+                starts[tuple(w[j : j + 50])] = min(i, starts.get(tuple(w[j : j + 50]), i))
+    cut = []
+    for i, t in docs:
+        w = re.findall("[^\x20\x09-\x0d]+", t)
+        gone = {p for j in range(len(w) - 49) if i is not None and starts[tuple(w[j : j + 50])] < i for p in range(j, j + 50)}
+        if len(gone) < len(w):
+            cut.append((i, " ".join(x for p, x in enumerate(w) if p not in gone) if gone else t))
+    windows = [w if len(w) < 13 else w[j : j + 13] for t in items for w in [WORD.findall(lower(t))] for j in range(max(1, len(w) - 12)) if w]
+    clean = []
+    for i, t in cut:
+        while True:
+            found = list(WORD.finditer(lower(t)))
+            w = [m.group() for m in found]
+            hit = {p for x in windows for j in range(len(w) - len(x) + 1) if w[j : j + len(x)] == x for p in range(j, j + len(x))}
+            if 20 * len(hit) >= len(w) and hit:
+                break
+            if not hit:
+                clean.append((i, t))
+                break
+            ends = [m.start() for m in found[1:]] + [len(t)]
+            gone = {p for h in hit for p in range(found[h].start(), ends[h])}
+            t = "".join(c for p, c in enumerate(t) if p not in gone)
+    return clean
+
+
+def written(spark, folder, rows, items):
+    spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit(1)).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_the_whole_pipeline_against_enumeration(spark, tmp_path):
+    rng = random.Random(21)
+    free = lambda n, k: [f"w{rng.randrange(10**k)}" for _ in range(n)]
+    items = [" ".join(free(15, 6)), " ".join(free(30, 6)), "two words"]
+    passage, base = free(70, 6), free(120, 6)
+    texts = [" ".join(free(rng.randint(1, 200), 5)) for _ in range(30)]
+    texts += [" ".join(base[:k] + free(3, 6) + base[k + rng.randint(0, 3) :]) for k in (0, 20, 50, 90, 118)] + [" ".join(base), " ".join(base).upper()]
+    texts += [" ".join(free(40, 6) + passage + free(30, 6)) for _ in range(3)] + [" ".join(passage), "  ".join(passage)]
+    texts += [" ".join(free(n, 6)) + f" {items[j]}. " + " ".join(free(n, 6)) for n in (5, 400) for j in (0, 1, 2)]
+    texts += [None, "", "12 !! 3", "x", "X", "é", " ".join(free(20_000, 7)), " ".join(f"a{i % 40}" for i in range(5000))]
+    rows = [(i, t, "en" if i % 4 else None, "s", len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (5, "another text with the number five", "en", "s", 33), (None, texts[7], "en", "s", 5), (None, "no number at all", None, None, None), (None, "no number at all", None, None, None), (-3, texts[31], "en", "s", 5)]
+    folder = written(spark, tmp_path, rows, items)
+    want, docs = plainly(rows, items), spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in C.STAGES[:-1]:
+        docs = blocks.stored(stage(spark, docs, folder))
+        assert docs.columns == C.COLUMNS
+    left = docs.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter(want)
+    was = {r[:2]: r[4] for r in rows}
+    assert all(r["n_chars"] == was.get((r["doc_id"], r["text"]), len(r["text"])) for r in left)
+    assert {r["lang"] for r in left if r["doc_id"] is not None and r["doc_id"] >= 0} == {"en"}  # the only language there is
+    t, pieces = tokenizer(packing.tokenizer_file()), Counter()
+    for i, text in want:
+        ids = [*t.slow.encode(text, add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        pieces.update((i, p, z - a, zlib.crc32(np.array(ids[a:z], "<u4").tobytes())) for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])))
+    packed = C.run(spark, folder).collect()
+    assert Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packed) == pieces
+    room = Counter()
+    for r in packed:
+        room[r["sequence_id"]] += r["length"]
+    assert max(room.values()) <= 2048 and len(room) <= -(-sum(room.values()) // 2048) + 1
+
+
+def test_an_empty_corpus_and_one_without_labels(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    (tmp_path / "bare").mkdir()
+    assert C.run(spark, written(spark, tmp_path / "none", [], ["an item"])).count() == 0
+    rows = [(i, f"text number {i} of a corpus without a label", None, None, None) for i in range(50)] + [(60, "55 66", None, None, None)]
+    packed = C.run(spark, written(spark, tmp_path / "bare", rows, ["an item"]))
+    assert {r["doc_id"] for r in packed.collect()} == set(range(50))  # nothing is known of a language, so none is rejected
+
+
+def test_a_hot_group_meets_few_of_its_pairs(spark):
+    """Edited copies of one text: the pairs that are compared grow with the copies, not with their square."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    made, shown = [], similar.similar
+    similar.similar = lambda pairs, *a: made.append(pairs.count()) or shown(pairs, *a)
+    try:
+        for n in (100, 400):
+            texts = [" ".join(w if j not in at else f"e{rng.randrange(60)}" for j, w in enumerate(base)) for _ in range(n) for at in [set(rng.sample(range(150), rng.randint(1, 9)))]]
+            docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+            similar.similar_groups(docs).count()
+    finally:
+        similar.similar = shown
+    assert made[0] + made[1] < 30 * 100 and made[2] + made[3] < 30 * 400
+
+
+@pytest.mark.parametrize("n", [1, 1 << 15, 1 << 16, 1 << 30])
+def test_segments_follow_the_number_of_texts(n):
+    got, width = similar.layout(n, (4, 5), 1e-3)
+    assert 1 << width >= 2 * n and width >= 16
+    q = similar.differing((4, 5))
+    near = (1 - q) ** width + width * q * (1 - q) ** (width - 1)
+    assert (1 - near) ** got <= 1e-3 < (1 - near) ** (got - 1)
