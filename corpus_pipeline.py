@@ -56,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens."""
-    return packing.pack_documents(docs, packing.tokenizer_file())
+    return packing.pack_documents(docs, packing.tokenizer_file(), packing.PRODUCTION)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("best_fit_packing", best_fit_packing)]
