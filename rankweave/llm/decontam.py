@@ -23,7 +23,7 @@ WORD = B.byte_table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B),
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-PART = "doc_id long, __hash__ long, n_words long, hit binary, items array<long>"
+PART = "doc_id long, __hash__ long, n_words long, hit binary, items array<string>"
 FILTER_BITS = 20
 
 
@@ -80,10 +80,11 @@ def _filter(key: np.ndarray) -> np.ndarray:
 class Index:
     """A benchmark's windows: fingerprints and whole windows of `window` words, and the short items, by length."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], window: int, k: int):
+    def __init__(self, ids: list, texts: list[str | None], window: int, k: int):
         self.window, self.k = window, k
         w = Words(pa.array(texts, pa.string()))
-        n, item = np.diff(w.bounds), np.array(ids, np.int64)
+        self.names, item = np.unique(np.array([str(i) for i in ids], object), return_inverse=True)
+        n, item = np.diff(w.bounds), item.astype(np.int64)
         place, first, last = B.anchors(w.first, w.bounds, window, k)
         self.prints = np.unique(w.first.slices(place, place + k))
         self.maybe = _filter(self.prints)
@@ -95,7 +96,7 @@ class Index:
             self.short.append(Lookup.of(size, *w.keys(w.bounds[whole], size), item[whole]))
 
     def hits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word bounds of the texts, hit words (booleans), and the pairs (text, item) that share a window."""
+        """Word bounds of the texts, hit words (booleans), and the pairs (text, item's name) that share a window."""
         w = Words(column)
         depth, docs, items = np.zeros(int(w.bounds[-1]) + 1, np.int32), [], []
 
@@ -122,7 +123,7 @@ class Index:
             inside = w.bounds[np.searchsorted(w.bounds, at, side="right")] >= at + m
             take(lookup, at[inside], entry[inside])
         pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.int64), *items])]), axis=1)
-        return w.bounds, np.cumsum(depth[:-1]) > 0, pairs[0], pairs[1]
+        return w.bounds, np.cumsum(depth[:-1]) > 0, pairs[0], self.names[pairs[1]]
 
 
 def _within(n: np.ndarray) -> np.ndarray:
@@ -130,8 +131,8 @@ def _within(n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _names(items) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def _names(items: list[str]) -> str:
+    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
 def _verdict(n_words: int, n_hit: int) -> bool:
@@ -144,7 +145,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     masks adds the column `hit`, the hit words as packed bits, or null without any; without_hits() cuts them.
 
     Words are runs of ASCII letters and digits and of all characters above ASCII, lower-cased in A-Z.  Items shorter
-    than a window are windows of their own; items without words or without an id match nothing.  Null texts have no
+    than a window are windows of their own; items without words or without an id match nothing; an id may be of any type.  Null texts have no
     words.  Each row gives a row, with the columns in keep; other columns are ignored.
 
     The benchmark goes to the tasks in blocks of about block_bytes of text.  One block is the usual case and needs no
@@ -161,12 +162,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     if blocks == 1:
         docs = docs.select("doc_id", "text", *(c for c in extra if c != "text"))
         return docs.mapInArrow(_whole(_index(benchmark, window, k), extra, masks), schema)
-    parts = [docs.select("doc_id", "text", F.xxhash64("text").alias("__hash__")).mapInArrow(_part(_index(benchmark.where(block == i), window, k)), PART) for i in range(blocks)]
+    row = F.xxhash64("text", F.spark_partition_id())  # equal rows of different input partitions meet apart
+    parts = [docs.select("doc_id", "text", row.alias("__hash__")).mapInArrow(_part(_index(benchmark.where(block == i), window, k)), PART) for i in range(blocks)]
     found = reduce(DataFrame.union, parts).groupBy("doc_id", "__hash__").applyInArrow(_joined(blocks, masks), f"{result}, __hash__ long")
     if not extra:
         return found.drop("__hash__")
     found = found.dropDuplicates(["doc_id", "__hash__"]).withColumnRenamed("doc_id", "__found__")
-    docs = docs.select("doc_id", F.xxhash64("text").alias("__key__"), *extra)
+    docs = docs.select("doc_id", row.alias("__key__"), *extra)
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__found__"]) & F.col("__key__").eqNullSafe(F.col("__hash__"))).select([f.name for f in schema])
 
 
@@ -210,7 +212,7 @@ def _part(index: Index):
                 bounds, hit, doc, item = index.hits(b.column("text"))
                 n_words, _, items = _rows(bounds, hit, doc, item)
                 masks = [np.packbits(hit[a:z]).tobytes() for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.record_batch({"doc_id": b.column("doc_id").cast(pa.int64()), "__hash__": b.column("__hash__"), "n_words": pa.array(n_words, pa.int64()), "hit": pa.array(masks, pa.binary()), "items": pa.array(items, pa.list_(pa.int64()))})
+                yield pa.record_batch({"doc_id": b.column("doc_id").cast(pa.int64()), "__hash__": b.column("__hash__"), "n_words": pa.array(n_words, pa.int64()), "hit": pa.array(masks, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))})
 
     return run
 

@@ -1,8 +1,8 @@
 """Byte-level BPE over blocks of text.
 
 Texts are cut into pretokens by array operations over the characters' classes, and the ids of a pretoken are looked up
-by its hash in a table that each Python worker fills as it goes; only pretokens seen for the first time are merged one
-by one.  The ids equal those that the tokenizer file gives with ``add_special_tokens=False``.
+in a table that each Python worker fills as it goes, by a hash of 63 bits, a second one of 64 and its length; only
+pretokens seen for the first time are merged one by one.  The ids equal those that the tokenizer file gives with ``add_special_tokens=False``.
 """
 
 from __future__ import annotations
@@ -98,9 +98,9 @@ class BlockTokenizer:
         self.piece = self._merger(spec)
         self.most, self.bits = most, 22
         size = 1 << self.bits
-        self.hash, self.place, self.length = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.int32)
+        self.hash, self.second, self.place, self.length = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.int32)
         self.pool, self.used, self.count = np.zeros(1 << 20, np.uint32), 0, 0
-        self.evicted: dict[int, tuple[int, int]] = {}
+        self.evicted: dict[bytes, tuple[int, int]] = {}
 
     def _merger(self, spec: dict):
         """A function from a pretoken's bytes to ids: by ranks where the ids are in the order of the merges."""
@@ -123,13 +123,13 @@ class BlockTokenizer:
             pool[: self.used] = self.pool[: self.used]
             self.pool = pool
 
-    def _learn(self, key: np.ndarray, start: np.ndarray, end: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, key: np.ndarray, second: np.ndarray, start: np.ndarray, end: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Places and lengths of the ids of pretokens that the table doesn't have."""
-        unique, one, back = np.unique(key, return_index=True, return_inverse=True)
-        place, length = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
+        _, one, back = np.unique(key ^ B.mixed(second), return_index=True, return_inverse=True)
+        place, length = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
         fresh = []
-        for i, (h, a, z) in enumerate(zip(unique.tolist(), start[one].tolist(), end[one].tolist(), strict=True)):
-            have = self.evicted.get(h)
+        for i, (a, z) in enumerate(zip(start[one].tolist(), end[one].tolist(), strict=True)):
+            have = self.evicted.get(raw[a:z])
             if have is None:
                 ids = self.piece(raw[a:z])
                 self._room(len(ids))
@@ -141,12 +141,13 @@ class BlockTokenizer:
         if fresh and self.count < self.most:
             self.count += len(fresh)
             f = np.array(fresh)
-            slot = (unique[f] & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+            slot = (key[one[f]] & np.uint64((1 << self.bits) - 1)).astype(np.int64)
             free = self.hash[slot] == 0
             free[free] = np.isin(np.flatnonzero(free), np.flatnonzero(free)[np.unique(slot[free], return_index=True)[1]])
-            self.hash[slot[free]], self.place[slot[free]], self.length[slot[free]] = unique[f][free], place[f][free], length[f][free]
+            g, at = f[free], slot[free]
+            self.hash[at], self.second[at], self.place[at], self.length[at] = key[one[g]], second[one[g]], place[g], length[g]
             for i in f[~free].tolist():
-                self.evicted[int(unique[i])] = (int(place[i]), int(length[i]))
+                self.evicted[raw[start[one[i]] : end[one[i]]]] = (int(place[i]), int(length[i]))
         return place[back], length[back]
 
     def encode(self, data: np.ndarray, off: np.ndarray, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -170,11 +171,12 @@ class BlockTokenizer:
         start, before = pretokens(data, off)
         end = np.r_[start[1:], len(data)]
         key = B.word_symbols(data, start, end) | np.uint64(1)
+        second = B.word_symbols(data, start, end, B.BASES[1])
         slot = (key & np.uint64((1 << self.bits) - 1)).astype(np.int64)
         place, length = self.place[slot].astype(np.int64), self.length[slot].astype(np.int64)
-        miss = np.flatnonzero(self.hash[slot] != key)
+        miss = np.flatnonzero((self.hash[slot] != key) | (self.second[slot] != second))
         if len(miss):
-            place[miss], length[miss] = self._learn(key[miss], start[miss], end[miss], raw)
+            place[miss], length[miss] = self._learn(key[miss], second[miss], start[miss], end[miss], raw)
         total = np.r_[0, np.cumsum(length)]
         ids = self.pool[np.repeat(place - total[:-1], length) + np.arange(total[-1])]
         bounds = total[before]

@@ -7,6 +7,7 @@ Hamming ball around each part; whole distances are verified in the join.  Copies
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -73,6 +74,16 @@ def _ball(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
+def fewest_rows(nodes: int, bits: int) -> int:
+    """The number of segments with which `nodes` fingerprints look up, and find, the fewest table rows."""
+
+    def rows(segments: int) -> float:
+        width, radius = 64 // segments, bits // segments
+        return segments * sum(math.comb(width, r) for r in range(radius + 1)) * (1 + nodes / 2.0**width)
+
+    return min(range(1, bits + 2), key=rows)
+
+
 def links(nodes: DataFrame, bits: int = 4, segments: int = 3) -> DataFrame:
     """Pairs (u, v), u < v, of distinct fingerprints (column fp) that differ in at most `bits` bits."""
 
@@ -90,16 +101,17 @@ def links(nodes: DataFrame, bits: int = 4, segments: int = 3) -> DataFrame:
     return probe.join(table, on).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, segments: int | None = None) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id that links of at most `bits` bits reach) of each row.
 
     docs needs doc_id and text; other columns are ignored.  Words are lower-cased in A-Z only.  Texts without words, and
     null, have fingerprint zero and are linked like any other.  A row without doc_id belongs to its component, which it
-    never names; a component of such rows only has a null id.  Repeated rows each give a row.
+    never names; a component of such rows only has a null id.  Repeated rows each give a row.  Any number of segments
+    gives the same result; without one it follows the number of fingerprints.
     """
     prints = B.stored(fingerprints(docs, shingle))
     nodes = B.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes, bits, segments))
+    roots = components(links(nodes, bits, segments or fewest_rows(nodes.count(), bits)))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

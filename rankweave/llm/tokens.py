@@ -48,13 +48,13 @@ def write_flat(docs: DataFrame, tokenizer_path: str, folder: str, separator: int
 def scan_flat(files: DataFrame, folder: str, separator: int, width: int, block: int = 4 << 20) -> DataFrame:
     """Counts the ids between separators of flat files (file, size): file, ordinal, n_tokens.
 
-    Every block is searched for separators by itself.  A prefix scan over a file's blocks gives each block the number
+    Separators are looked for in every block by itself.  A prefix scan over a file's blocks gives each block the number
     of separators before it and the place of the last one, which completes the document that spans its boundary.
     """
     per = block // width
     todo = files.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block))).alias("block"))
 
-    def search(batches):
+    def scan(batches):
         system, root = opened(folder)
         for b in batches:
             for name, size, k in zip(*(b.column(c).to_pylist() for c in ("file", "size", "block")), strict=True):
@@ -64,7 +64,7 @@ def scan_flat(files: DataFrame, folder: str, separator: int, width: int, block:
                 last = int(at[-1]) if len(at) else None
                 yield pa.record_batch({"file": pa.array([name]), "block": pa.array([k], pa.int64()), "n": pa.array([len(at)], pa.int64()), "first": pa.array([int(at[0]) if len(at) else None], pa.int64()), "last": pa.array([last], pa.int64()), "inner": pa.array([np.diff(at) - 1], pa.list_(pa.int64()))})
 
-    found = todo.repartition(B.partitions(files.sparkSession), "file", "block").mapInArrow(search, "file string, block long, n long, first long, last long, inner array<long>")
+    found = todo.repartition(B.partitions(files.sparkSession), "file", "block").mapInArrow(scan, "file string, block long, n long, first long, last long, inner array<long>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("n").over(before), F.lit(0))
     carry = F.coalesce(F.max("last").over(before), F.lit(-1))

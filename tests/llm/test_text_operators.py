@@ -46,8 +46,8 @@ def test_decontamination(spark, rows, docs, none):
                     items |= found
                     hit[j : j + n] = [1] * n
         want.append((r[0], len(w), sum(hit), len(items), hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), sum(hit) > 0 and 20 * sum(hit) >= len(w)))
-    for size in (1 << 20, 60):
-        got = decontam.decontaminate(docs, table, block_bytes=size, keep=["lang", "score"])
+    for size, items in ((1 << 20, table), (60, table), (60, table.withColumn("item_id", F.col("item_id").cast("string")))):
+        got = decontam.decontaminate(docs, items, block_bytes=size, keep=["lang", "score"])
         assert sorted(map(str, (tuple(r)[:6] for r in got.collect()))) == sorted(map(str, want))
         assert got.columns[6:] == ["lang", "score"]
     assert decontam.decontaminate(none, table).count() == 0
@@ -94,6 +94,21 @@ def test_ids_equal_the_tokenizers(rows):
         assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:])] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_every_character_is_of_the_tokenizers_class():
+    t = tokenizer(packing.tokenizer_file())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for s in range(0, len(points), 50_000):
+        texts = [f"a{chr(c)}1 {chr(c)}" for c in points[s : s + 50_000]]
+        ids, bounds = t.encode(*blocks.buffer(pa.array(texts)), special=False)
+        want = t.literal.encode_batch_fast(texts, add_special_tokens=False)
+        assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:])] == [e.ids for e in want]
+
+
+def test_the_number_of_segments_follows_the_fingerprints():
+    assert [simhash.fewest_rows(n, 4) for n in (10, 10**6, 10**9, 10**11)] == [5, 3, 2, 2]
+    assert simhash.fewest_rows(10, 0) == 1
+
+
 def test_token_counts(spark, rows, docs, none):
     t = tokenizer(packing.tokenizer_file())
     want = sorted((str(r[0]), len(t.literal.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows)
