@@ -256,7 +256,7 @@ def losses(n: dict[str, np.ndarray], size: int, strength: float) -> np.ndarray:
     return -np.log((n["pair"] + strength * alone) / (n["context"] + strength))
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, strength: float = 100.0, block_bytes: int = 1 << 20, leave_out: bool = True) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, strength: float = 100.0, block_bytes: int = 3 << 20, leave_out: bool = True) -> DataFrame:
     """Scores documents (doc_id, text; other columns are ignored): doc_id, n_words, loss_target, loss_background, score.
 
     target_ids (doc_id) names the target documents.  Losses are means over the words, in nats.  Texts without words, and
