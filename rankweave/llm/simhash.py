@@ -75,13 +75,14 @@ def _ball(width: int, radius: int) -> list[int]:
 
 
 def fewest_rows(nodes: int, bits: int) -> int:
-    """The number of segments with which `nodes` fingerprints look up, and find, the fewest table rows."""
+    """The number of segments with which `nodes` fingerprints look up, and find, the fewest table rows: at most one for
+    each bit that may differ, so that there is a ball to look up."""
 
     def rows(segments: int) -> float:
         width, radius = 64 // segments, bits // segments
         return segments * sum(math.comb(width, r) for r in range(radius + 1)) * (1 + nodes / 2.0**width)
 
-    return min(range(1, bits + 2), key=rows)
+    return min(range(1, max(bits, 1) + 1), key=rows)
 
 
 def links(nodes: DataFrame, bits: int = 4, segments: int = 3) -> DataFrame:

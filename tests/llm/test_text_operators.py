@@ -105,7 +105,7 @@ def test_every_character_is_of_the_tokenizers_class():
 
 
 def test_the_number_of_segments_follows_the_fingerprints():
-    assert [simhash.fewest_rows(n, 4) for n in (10, 10**6, 10**9, 10**11)] == [5, 3, 2, 2]
+    assert [simhash.fewest_rows(n, 4) for n in (10, 10**6, 10**9, 10**11)] == [3, 3, 2, 2]
     assert simhash.fewest_rows(10, 0) == 1
 
 
