@@ -8,7 +8,9 @@ bucket one entry per block.
 
 from __future__ import annotations
 
+import ctypes
 import math
+import time
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -31,6 +33,7 @@ ASK, STATE = 0, 1
 BLOCK = "__block__"
 #: An estimate that the optimizer makes up for tables without files, at least; and input for a partition, at most.
 UNKNOWN_BYTES, PARTITION_BYTES = 1 << 50, 64 << 20
+_RELEASED = 0.0
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -66,6 +69,19 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(BATCH_ROWS, str(rows))
 
 
+def release(every: float = 0.5) -> None:
+    """Gives the system back what this worker has freed, now and then: workers stay, and wait for other tasks with what
+    they hold."""
+    global _RELEASED
+    if time.monotonic() - _RELEASED < every:
+        return
+    _RELEASED = time.monotonic()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -305,10 +321,13 @@ def answered(dtypes: tuple[str, ...], solve: Callable[..., np.ndarray], valued:
         if asks:
             parts = [_entries(body[i], dtypes, valued) for i in asks]
             sizes = [len(p[0]) for p in parts]
-            out = solve(np.repeat(np.arange(len(parts)), sizes), *(np.concatenate(c) for c in zip(*parts, strict=True)))
+            out = solve(np.repeat(np.arange(len(parts), dtype=np.int32), sizes), *(np.concatenate(c) for c in zip(*parts, strict=True)))
             for i, piece in zip(asks, np.split(out, np.cumsum(sizes)[:-1]), strict=True):
                 replies[i] = len(piece).to_bytes(4, "little") + np.packbits(piece).tobytes()
-        return pa.table({"g": pa.array(src, pa.int64()), "dest": t["dest"].cast(pa.int64()), "kind": pa.array(kind, pa.int32()), "body": pa.array([replies[i] for i in range(len(src))], pa.binary())})
+        out = pa.table({"g": pa.array(src, pa.int64()), "dest": t["dest"].cast(pa.int64()), "kind": pa.array(kind, pa.int32()), "body": pa.array([replies[i] for i in range(len(src))], pa.binary())})
+        del body, replies
+        release()
+        return out
 
     return answer
 
@@ -376,20 +395,26 @@ def _ordered(t: pa.Table) -> pa.Table:
 
 def _first(emit, buckets):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        return emit(key[0].as_py(), _ordered(t), None, buckets)
+        out = emit(key[0].as_py(), _ordered(t), None, buckets)
+        release()
+        return out
 
     return run
 
 
 def _later(emit, buckets):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
-        return emit(key[0].as_py(), _ordered(t), replies, buckets)
+        out = emit(key[0].as_py(), _ordered(t), replies, buckets)
+        release()
+        return out
 
     return run
 
 
 def _last(final):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
-        return final(key[0].as_py(), _ordered(t), replies)
+        out = final(key[0].as_py(), _ordered(t), replies)
+        release()
+        return out
 
     return run

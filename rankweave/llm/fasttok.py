@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 
@@ -85,23 +86,34 @@ def pretokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class BlockTokenizer:
     """Ids of whole blocks of texts.  Its memory is bounded by `most` cached pretokens."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
-        from tokenizers import Tokenizer
-
+    def __init__(self, path: str, most: int = 600_000):
         spec = json.load(open(path, encoding="utf-8"))
         self.vocab, self.path = spec["model"]["vocab"], path
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.size = max([*self.vocab.values(), *self.special.values()]) + 1
-        self.slow = Tokenizer.from_file(path)
-        self.literal = Tokenizer.from_file(path)
-        self.literal.encode_special_tokens = True
         self.piece = self._merger(spec)
-        self.most, self.bits = most, 22
+        self.most, self.bits = most, 21
         size = 1 << self.bits
         self.hash, self.second, self.place, self.length = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.int32)
         self.pool, self.used, self.count = np.zeros(1 << 20, np.uint32), 0, 0
         self.evicted: dict[bytes, tuple[int, int]] = {}
 
+    @cached_property
+    def slow(self):
+        """The tokenizer itself, for texts with a special token's string."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def literal(self):
+        """The same, to which such a string is ordinary text."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def _merger(self, spec: dict):
         """A function from a pretoken's bytes to ids: by ranks where the ids are in the order of the merges."""
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]

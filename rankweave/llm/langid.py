@@ -190,6 +190,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] = []) -> Data
                     lang, score = model.predict(x) if model else ([UNKNOWN] * len(x), np.zeros(len(x)))
                     lang = [v if ok else UNKNOWN for v, ok in zip(lang, letter.tolist(), strict=True)]
                     yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(np.where(letter, score, 0.0), pa.float64())} | {c: part.column(c) for c in extra})
+        B.release()
 
     return docs.select("doc_id", "text", *(c for c in extra if c != "text")).mapInArrow(run, schema)
 

@@ -126,6 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, e
                 raw, at = memoryview(ids).cast("B"), (bounds[who] + start) * 4
                 crc = [zlib.crc32(raw[a : a + 4 * n]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
                 yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()).take(pa.array(who)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+        B.release()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 

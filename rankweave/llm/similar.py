@@ -101,7 +101,7 @@ def support(docs: DataFrame, size: int, least: tuple[int, int], block_bytes: int
         return pa.table({"doc_id": t["doc_id"].cast(pa.int64()), "__hash__": t["__hash__"], "node": pa.array(x.node.view(np.int64), pa.int64()), "n": pa.array(x.n, pa.int64()), "s": pa.array(s, pa.int64()), "body": pa.array(body, pa.binary())})
 
     steps = [(emit, B.answered(("u4", "u2"), B.several))]
-    return B.converse(B.grouped(docs, block_bytes, n, ["__hash__"]), n, n, steps, final, T._parse_datatype_string(SUPPORT))
+    return B.converse(B.grouped(docs, block_bytes, n, ["__hash__"]), n, 2 * n, steps, final, T._parse_datatype_string(SUPPORT))
 
 
 def differing(least: tuple[int, int]) -> float:
