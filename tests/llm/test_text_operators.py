@@ -190,6 +190,36 @@ def test_links_find_every_close_pair(spark, bits, segments):
     assert got == {(min(a, b), max(a, b)) for i, a in enumerate(signed) for j, b in enumerate(signed[:i]) if (values[i] ^ values[j]).bit_count() <= bits}
 
 
+def test_dense_groups_are_linked_without_their_pairs(spark):
+    """Copies with up to two changed bits around three centres, two of them a chain apart, and lone fingerprints."""
+    rng = random.Random(4)
+    centre = rng.getrandbits(64)
+    far = centre ^ sum(1 << p for p in (1, 5, 9, 23, 25, 29, 45, 50, 61))
+    chain = [centre ^ sum(1 << p for p in (1, 5, 9, 23, 25, 29, 45, 50, 61)[:n]) for n in (4, 7)]
+    around = lambda c, n: {c ^ sum(1 << p for p in rng.sample(range(64), rng.randint(0, 2))) for _ in range(n)}
+    values = around(centre, 300) | around(far, 60) | set(chain) | around(rng.getrandbits(64), 40) | {rng.getrandbits(64) for _ in range(50)}
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    close = {(a, b) for i, b in enumerate(signed) for a in signed[:i] if ((a ^ b) % (1 << 64)).bit_count() <= 4}
+    near = {v: {v} for v in signed}
+    for a, b in close:
+        near[a].add(b)
+        near[b].add(a)
+    want = {v: v for v in signed}
+    while (after := {v: min(want[x] for x in near[v]) for v in signed}) != want:
+        want = after
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
+    for segments in (2, 3, 4):
+        roots = dict(map(tuple, simhash.linked(nodes, 4, segments).collect()))
+        assert {v: roots.get(v, v) for v in signed} == want
+        few = {tuple(r) for r in simhash.represented(nodes, 4, segments).collect()}
+        assert few <= close and len(few) < 8 * len(signed) < len(close) / 4
+    # once all are joined, nothing is left to ask
+    rooted = nodes.join(spark.createDataFrame(list(want.items()), "fp long, root long"), "fp").withColumn("rank", F.struct(F.lit(1).alias("size"), "root"))
+    assert simhash.apart(rooted.select("fp", "rank"), 4, 3).count() == 0
+    alone = nodes.select("fp", F.struct(F.lit(1).alias("size"), F.col("fp").alias("root")).alias("rank"))
+    assert {tuple(r) for r in simhash.apart(alone, 4, 3).collect()} == close
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (200, 199)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
