@@ -12,7 +12,7 @@ import ctypes
 import math
 import time
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,9 @@ BLOCK = "__block__"
 UNKNOWN_BYTES, PARTITION_BYTES = 1 << 50, 64 << 20
 _RELEASED = 0.0
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
+#: The size, as stored or shuffled, up to which a table that grows with the input may go through the driver.
+BROADCAST_BYTES = 256 << 10
 
 
 # ---------------------------------------------------------------- storage
@@ -69,6 +72,28 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(BATCH_ROWS, str(rows))
 
 
+@contextmanager
+def small_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Lowers the size up to which the jobs that run meanwhile send a join's side through the driver; never raises it.
+
+    The driver holds such a side as rows, as a table and as blocks: dozens of times its size as shuffled.
+    """
+    adaptive = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    with ExitStack() as stack:
+        for key in (BROADCAST, adaptive):
+            now = spark.conf.get(key, None)
+            if now is not None and (now.startswith("-") or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= BROADCAST_BYTES):
+                continue
+            if now is not None or key == BROADCAST:
+                stack.enter_context(setting(spark, key, str(BROADCAST_BYTES)))
+        yield
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that a caller runs: if its files are larger than that, it doesn't go through the driver."""
+    return df.hint("merge") if input_bytes(df) > BROADCAST_BYTES else df
+
+
 def release(every: float = 0.5) -> None:
     """Gives the system back what this worker has freed, now and then: workers stay, and wait for other tasks with what
     they hold."""

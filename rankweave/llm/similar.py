@@ -281,7 +281,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = (
     segments, width = layout(count, least, miss)
     with B.setting(spark, B.BATCH_ROWS, "64"):
         nodes = B.stored(prints(texts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "s", "body"))), segments, width))
-    found = rows.select("doc_id", "__hash__", "node").join(roots(nodes, segments, width, least), "node", "left")
+    with B.small_broadcasts(spark):
+        linked = roots(nodes, segments, width, least)
+    found = rows.select("doc_id", "__hash__", "node").join(linked, "node", "left")
     return _named(found.withColumn("root", F.coalesce("root", "node")))
 
 
@@ -293,14 +295,15 @@ def _named(found: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The row with the least doc_id (null last) of each group of similar_groups(docs); of rows that share it one, and
     of repeated rows one."""
-    groups = B.stored(groups)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    kept = groups.groupBy("group").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash")
-    kept = groups.join(kept.alias("k"), groups["doc_id"].eqNullSafe(F.col("k.doc_id")) & groups["text_hash"].eqNullSafe(F.col("k.text_hash")), "left_semi")
-    kept = B.stored(kept.groupBy(F.col("doc_id").alias("__id__"), F.col("text_hash").alias("__hash__")).agg(F.count("*").alias("__rows__")))
+    with B.small_broadcasts(docs.sparkSession):
+        groups = B.stored(groups)
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+        kept = groups.groupBy("group").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash")
+        kept = groups.join(kept.alias("k"), groups["doc_id"].eqNullSafe(F.col("k.doc_id")) & groups["text_hash"].eqNullSafe(F.col("k.text_hash")), "left_semi")
+        kept = B.stored(kept.groupBy(F.col("doc_id").alias("__id__"), F.col("text_hash").alias("__hash__")).agg(F.count("*").alias("__rows__")))
     same = docs["doc_id"].eqNullSafe(F.col("__id__")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__hash__"))
     if kept.where("__rows__ > 1").isEmpty():
-        return docs.join(kept, same, "left_semi")
-    out = docs.join(kept, same)
+        return docs.join(B.shuffled(kept), same, "left_semi")
+    out = docs.join(B.shuffled(kept), same)
     again = out.where("__rows__ > 1").dropDuplicates(["__id__", "__hash__"])
     return out.where("__rows__ = 1").union(again).select(*docs.columns)

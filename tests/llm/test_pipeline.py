@@ -199,6 +199,36 @@ def test_a_hot_group_meets_few_of_its_pairs(spark):
     assert made[0] + made[1] < 30 * 100 and made[2] + made[3] < 30 * 400
 
 
+def broadcast_mb(spark, first: int) -> float:
+    """MB of the largest table that went through the driver for a join, of executions from number `first` on."""
+    store, units, most = spark._jsparkSession.sharedState().statusStore(), {"B": 1e-6, "KiB": 1.024e-3, "MiB": 1.048576, "GiB": 1073.741824}, 0.0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    listed = store.executionsList()
+    for e in (i for i in (listed.apply(k).executionId() for k in range(listed.size())) if i >= first):
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (n for n in (nodes.apply(k) for k in range(nodes.size())) if n.name() == "BroadcastExchange"):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if m.name() == "data size" and values.contains(m.accumulatorId()):
+                    size, unit = re.search(r"([\d.,]+) (\w+)", values.apply(m.accumulatorId())).groups()
+                    most = max(most, float(size.replace(",", "")) * units[unit])
+    return most
+
+
+def test_near_dedup_sends_no_table_that_grows_through_the_driver(spark):
+    """Every text has two edited copies; at Spark's own threshold (10 MB) links, entries and texts would be broadcast."""
+    rng, n = random.Random(8), 2000
+    rows = []
+    for i in range(n):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(i + n * k, " ".join([*words[:-k], *(f"e{rng.randrange(10**6)}" for _ in range(k))] if k else words), "en", "s", 1) for k in range(3)]
+    docs = blocks.stored(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    listed = spark._jsparkSession.sharedState().statusStore().executionsList()
+    first = max((listed.apply(k).executionId() for k in range(listed.size())), default=-1) + 1
+    before = spark.conf.get(blocks.BROADCAST, None)
+    assert {r["doc_id"] for r in C.near_dedup(spark, docs, "").collect()} == set(range(n))
+    assert broadcast_mb(spark, first) < 16 and spark.conf.get(blocks.BROADCAST, None) == before
+
+
 @pytest.mark.parametrize("n", [1, 1 << 15, 1 << 16, 1 << 30])
 def test_segments_follow_the_number_of_texts(n):
     got, width = similar.layout(n, (4, 5), 1e-3)
