@@ -210,6 +210,19 @@ def test_embedding_budget_starts_at_once_and_zero_is_unbounded():
         Embedding(lambda _: [], "q").result()
 
 
+def test_an_embedder_that_ends_after_its_budget_is_late_whenever_it_is_asked_for():
+    for late in (lambda _: time.sleep(0.2) or [1.0], lambda _: time.sleep(0.2), lambda _: time.sleep(0.2) or 1 / 0):
+        e = Embedding(late, "q")
+        assert e._done.wait(30)  # as after a term leg that takes longer than the embedder
+        with pytest.raises(EmbedTimeoutError):
+            e.result(1)
+        with pytest.raises(EmbedTimeoutError):
+            e.result(100)
+    prompt = Embedding(lambda _: [1.0], "q")
+    time.sleep(0.6)
+    assert prompt.result(500) == [1.0]  # asked for late, but it was there in time
+
+
 def test_abort_never_gives_a_partial_result(spark, notes):
     signal = Signal()
     signal.abort()
