@@ -133,18 +133,20 @@ def anchors(found: DataFrame, budget: int | None) -> DataFrame:
     return df.select("query_id", "lex", "df", F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("total"), F.row_number().over(order).alias("nth")).where((F.col("nth") == 1) | (F.col("total") <= budget)).select("query_id", "lex", "df")
 
 
-def match_graded(found: DataFrame, cap: int, budget: int | None = None) -> DataFrame:
+def match_graded(found: DataFrame, cap: int, budget: int | None = None, few: bool = False) -> DataFrame:
     """Documents with an anchor and at least one other lexeme (any document with the lexeme of a one-lexeme query): most
-    lexemes first, then best score, so that the documents of match_all come first."""
+    lexemes first, then best score, so that the documents of match_all come first.  Of few queries the anchors, a row for
+    each, go to the tasks, and the matches stay where they are."""
     sets = anchors(found, budget).groupBy("query_id").agg(F.collect_set("lex").alias("anchors"))
+    sets = F.broadcast(sets) if few else sets
     admitted = found.join(sets, "query_id").where(F.arrays_overlap("terms", "anchors") & ((F.col("coverage") >= 2) | (F.col("n_terms") == 1))).drop("anchors")
     return ranked(admitted, [F.desc("coverage"), F.desc("score"), F.asc("source_id")], cap)
 
 
-def widened(found: DataFrame, cap: int, budget: int | None = None) -> DataFrame:
+def widened(found: DataFrame, cap: int, budget: int | None = None, few: bool = False) -> DataFrame:
     """cascade(match_all(found, cap), match_graded(found, cap, budget), cap): as the rows of match_all come first among
     those of match_graded, and in the same order, it is the latter with its partial matches told apart."""
-    return match_graded(found, cap, budget).withColumn("appended", F.col("coverage") < F.col("n_terms"))
+    return match_graded(found, cap, budget, few).withColumn("appended", F.col("coverage") < F.col("n_terms"))
 
 
 def cascade(first: DataFrame, second: DataFrame, cap: int, terms: Terms | None = None) -> DataFrame:

@@ -42,12 +42,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> TableSource:
-    # one row an id: a plan that doesn't look at the time then leaves the join out
-    times = read(spark, sf_dir, "events").groupBy(F.col("event_id").alias("doc_id")).agg(millis(F.max("ts")).alias("ts_ms"))
-    table = read(spark, sf_dir, "documents").join(times, "doc_id", "left")
+    times = read(spark, sf_dir, "events").groupBy(F.col("event_id").cast("string").alias("source_id")).agg(millis(F.max("ts")).alias("ts_ms"))
+    table = read(spark, sf_dir, "documents")
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("source_id"), F.col("embedding").cast("array<double>").alias("v"))
     c = F.col
-    return TableSource("documents", table, c("doc_id"), c("text"), ts_ms=c("ts_ms"), scope=c("source"), kind=c("lang"), meta={"lang": c("lang")}, vectors=vectors)
+    return TableSource("documents", table, c("doc_id"), c("text"), ts_ms=c("ts_ms"), scope=c("source"), kind=c("lang"), meta={"lang": c("lang")}, vectors=vectors, times=times)
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> TableSource:
@@ -114,13 +113,13 @@ def cover_density_all(spark, sf_dir):
 
 @query(Sql().lexical(RARE).graded(100, lexical.DF_BUDGET).out("SELECT source_id, coverage, score, pos FROM graded"))
 def coverage_graded(spark, sf_dir):
-    hits = lexical.match_graded(documents(spark, sf_dir).matches(Params(100), _one(RARE)), 100)
+    hits = lexical.match_graded(documents(spark, sf_dir).matches(Params(100), _one(RARE)), 100, few=True)
     return _pos(hits.select("source_id", F.col("coverage").cast("long").alias("coverage"), "score", "pos"))
 
 
 @query(Sql().lexical(RARE).graded(100, 100).out("SELECT source_id, coverage, score, pos FROM graded"))
 def anchor_budget(spark, sf_dir):
-    hits = lexical.match_graded(documents(spark, sf_dir).matches(Params(100), _one(RARE)), 100, 100)
+    hits = lexical.match_graded(documents(spark, sf_dir).matches(Params(100), _one(RARE)), 100, 100, few=True)
     return _pos(hits.select("source_id", F.col("coverage").cast("long").alias("coverage"), "score", "pos"))
 
 

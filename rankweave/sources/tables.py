@@ -19,7 +19,9 @@ class TableSource:
     Columns are expressions over `table`; those that are None don't exist, and filters on them are ignored.  vectors has
     source_id (string) and v (array of doubles).  lexical_index may be a stored table of postings (source_id, word, lex),
     which `indexed` makes; without one a query tokenizes the rows that its filters leave.  A source that hydrates gives
-    headlines for a page's ids, so it may leave them out before.
+    headlines for a page's ids, so it may leave them out before.  times may be a table of its own for the rows' times, with
+    source_id (string) and at most one row for each; ts_ms is then an expression over it.  It is joined to hits, never to
+    the whole table.
     """
 
     name: str
@@ -37,6 +39,7 @@ class TableSource:
     meta: dict[str, Column] = field(default_factory=dict)
     vectors: DataFrame | None = None
     lexical_index: DataFrame | None = None
+    times: DataFrame | None = None
     hydrates: bool = True
 
     # ---- rows
@@ -53,12 +56,17 @@ class TableSource:
         for column, value in ((self.speaker, f.speaker), (self.session, f.session_id), (self.kind, f.source_kind)):
             if value is not None and column is not None:
                 t = t.where(column == F.lit(value))
-        if self.ts_ms is not None:
-            if f.since is not None:
-                t = t.where(self.ts_ms >= F.lit(f.since))
-            if f.until is not None:
-                t = t.where(self.ts_ms < F.lit(f.until))
-        return t
+        if self.ts_ms is None or f.since is None and f.until is None:
+            return t
+        if self.times is None:
+            return self._timely(t, p)
+        timely = self._timely(self.times, p).select(F.col("source_id").alias("_timely"))
+        return t.join(timely, self.id.cast("string") == F.col("_timely"), "left_semi")
+
+    def _timely(self, t: DataFrame, p: Params) -> DataFrame:
+        if p.filters.since is not None:
+            t = t.where(self.ts_ms >= F.lit(p.filters.since))
+        return t.where(self.ts_ms < F.lit(p.filters.until)) if p.filters.until is not None else t
 
     def ids(self, p: Params, text: bool = False) -> DataFrame:
         """source_id, and text if asked for, of the rows that the request's predicates leave."""
@@ -94,12 +102,13 @@ class TableSource:
 
     def lexical(self, p: Params, queries: DataFrame | list[tuple[int, str]] | lexical.Terms, cascade: bool = False, ranker: str = LEXICAL, input_ord: int = 0) -> DataFrame:
         """A term listing of at most p.limit rows of each query; cascade widens thin ones."""
-        found = self.matches(p, queries)
+        terms = lexical.query_terms(self.table.sparkSession, queries)
+        found = self.matches(p, terms)
         if cascade and p.lexical_mode is None:
-            hits = lexical.widened(found, p.limit, p.anchor_df_budget)
+            hits = lexical.widened(found, p.limit, p.anchor_df_budget, terms.few)
         else:
             graded = p.lexical_mode == "coverage-graded"
-            hits = (lexical.match_graded(found, p.limit, p.anchor_df_budget) if graded else lexical.match_all(found, p.limit)).withColumn("appended", F.lit(False))
+            hits = (lexical.match_graded(found, p.limit, p.anchor_df_budget, terms.few) if graded else lexical.match_all(found, p.limit)).withColumn("appended", F.lit(False))
         return self._listing(hits, ranker, input_ord)
 
     def embedding(self, p: Params, queries: list[tuple[int, list[float]]], input_ord: int = 0) -> DataFrame:
@@ -116,17 +125,22 @@ class TableSource:
     # ---- columns of hits
 
     def rows(self, p: Params) -> DataFrame:
-        """Columns of ROW of the whole table, and highlight unless the request leaves it to `highlights`."""
+        """Columns of ROW of the whole table, and highlight unless the request leaves it to `highlights`.  ts_ms is null
+        where times has it."""
         null = lambda kind: F.lit(None).cast(kind)
         meta = F.map_from_arrays(F.array(*(F.lit(k) for k in self.meta)), F.array(*(c.cast("string") for c in self.meta.values()))) if self.meta else null(ROW["meta"])
-        given = {"source_id": self.id, "ts_ms": self.ts_ms, "scope": self.scope, "excerpt": excerpt(self.text), "rerank_score": self.rerank_score, "meta": meta}
+        given = {"source_id": self.id, "ts_ms": self.ts_ms if self.times is None else None, "scope": self.scope, "excerpt": excerpt(self.text), "rerank_score": self.rerank_score, "meta": meta}
         shown = F.lit("") if p.want_highlight is False else headline(self.text, p.words)
         return self.table.select(*((c.cast(ROW[n]) if c is not None else null(ROW[n])).alias(n) for n, c in given.items()), shown.alias("highlight"))
 
     def attached(self, hits: DataFrame, p: Params, small: bool) -> DataFrame:
         """Hits of this source (source_id and any other columns) with the columns of rows(): one pass over the table, which
         isn't shuffled if the hits are few (small)."""
-        return self.rows(p).join(F.broadcast(hits) if small else hits, "source_id")
+        rows = self.rows(p).join(F.broadcast(hits) if small else hits, "source_id")
+        if self.times is None or self.ts_ms is None:
+            return rows
+        times = self.times.select("source_id", self.ts_ms.cast(ROW["ts_ms"]).alias("ts_ms"))
+        return rows.drop("ts_ms").join(times, "source_id", "left")
 
     def highlights(self, ids: DataFrame, words: list[str]) -> DataFrame:
         """source_id and highlight for the ids of a page (source_id; a page is small), in one pass over the table."""

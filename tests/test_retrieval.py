@@ -1,5 +1,6 @@
 """Both entry points over small tables: merging, degradation, abort, budgets, policy, leg reports and health."""
 
+import re
 import threading
 import time
 
@@ -8,9 +9,9 @@ from pyspark.sql import functions as F
 
 from rankweave.operators import lexical
 from rankweave.plans import legs as L
-from rankweave.plans import policy, retrieval
+from rankweave.plans import catalogue, policy, retrieval
 from rankweave.plans.embedding import EmbedTimeoutError, Embedding
-from rankweave.schema import Aborted, Filters, Recency, Request, Signal
+from rankweave.schema import Aborted, Filters, Params, Recency, Request, Signal
 from rankweave.sources.tables import TableSource
 from rankweave.streaming import health
 
@@ -297,6 +298,31 @@ def test_health_of_a_stream_equals_that_of_the_table(spark, tmp_path):
     assert health.trailing_health(table, 1, NOW - DAY).first()["degraded_rate"] is None
 
 
+def test_neither_texts_nor_matches_are_shuffled_for_a_page(spark, tmp_path):
+    """Times are joined to the hits, and the anchors of few queries go to the matches, whatever may be broadcast unasked."""
+    spark.createDataFrame([(i, f"red fox {i}" if i % 2 else "red", "en", "src1", 7) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i * 1000) for i in range(10)], "event_id long, ms long").select("event_id", F.timestamp_millis("ms").alias("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    source = catalogue.documents(spark, str(tmp_path))
+    hits = spark.createDataFrame([("documents", str(i), i) for i in (3, 9, 15)], "source string, source_id string, pos int")
+    unasked = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        page = source.attached(hits, Params(5, words=("fox",)), True)
+        plan = spark._jvm.PythonSQLUtils.explainString(page._jdf.queryExecution(), "formatted")
+        shuffled = re.findall(r"\) Exchange\nInput[^\n]*", plan)
+        assert shuffled and not any("text#" in x for x in shuffled)
+        rows = {r["source_id"]: (r["ts_ms"], r["pos"], r["meta"]["lang"], r["highlight"]) for r in page.collect()}
+        assert rows == {"3": (3000, 3, "en", "red <mark>fox</mark> 3"), "9": (9000, 9, "en", "red <mark>fox</mark> 9"), "15": (None, 15, "en", "red <mark>fox</mark> 15")}
+        graded = source.lexical(Params(3), [(0, "red fox")], cascade=True)
+        assert "SortMergeJoin" not in graded._jdf.queryExecution().executedPlan().toString()
+        assert [r["source_id"] for r in graded.orderBy("pos").collect()] == ["1", "11", "13"]
+        timely = source.lexical(Params(9, filters=Filters(since=3000, until=9000)), [(0, "fox")])
+        assert [r["source_id"] for r in timely.orderBy("pos").collect()] == ["3", "5", "7"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", unasked)
+
+
 def test_index_of_postings_gives_the_same_listing(spark, notes, tmp_path):
     indexed = TableSource("notes", notes.table, notes.id, notes.text, owner=notes.owner).indexed(str(tmp_path / "index"))
     read = indexed._postings(Request(query="red fox").params(1), lexical.query_terms(spark, [(0, "red fox")]))
